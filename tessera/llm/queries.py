@@ -3,9 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import curriculum, decontaminate, simhash, topk
-from .common import table
+from . import curriculum, decontaminate, html_text, license_scan, quality, simhash, topk, toxicity
+from .common import crc_fold, table
+
+
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
+    out = toxicity.scored(docs, model, ["doc_id"])
+    return out.select("doc_id", (crc_fold("doc_id", 5) == 0).alias("held_out"), F.col("toxic_score").alias("score"), (F.col("toxic_score") >= 0.5).cast("int").alias("predicted"))
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,16 +24,34 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    weights = quality.fit(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
+    out = quality.scored(docs, weights, ["doc_id"])
+    return out.select("doc_id", (crc_fold("doc_id", 3) == 1).alias("held_out"), F.col("quality_score").alias("score"), (F.col("quality_score") >= 0.5).cast("int").alias("predicted"))
+
+
+def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.digest(license_scan.detections(table(spark, sf_dir, "documents").select("doc_id", "text")))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
 
+def op9_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
 def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return decontaminate.digest(decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=8))
 
 
-QUERIES = {"op2_simhash": op2_simhash, "op3_mix": op3_mix, "op8_topk": op8_topk, "op10_decontaminate": op10_decontaminate}
+QUERIES = {
+    f.__name__: f
+    for f in (op1_toxicity, op2_simhash, op3_mix, op5_quality, op6_licenses, op8_topk, op9_main_text, op10_decontaminate)
+}
 
 MIX_SQL = r"""
 WITH d AS (
@@ -73,4 +99,4 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM lowered LEFT JOIN n USING (r) LEFT JOIN h USING (r)
 """
 
-ORACLE = {"op3_mix": MIX_SQL, "op8_topk": TOPK_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+ORACLE = {"op3_mix": MIX_SQL, "op6_licenses": license_scan.sql(), "op8_topk": TOPK_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
