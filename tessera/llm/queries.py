@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import curriculum, decontaminate, html_text, license_scan, quality, simhash, topk, toxicity
+from . import curriculum, decontaminate, html_text, license_scan, lm_score, quality, simhash, suffix_repeats, topk, toxicity
 from .common import crc_fold, table
 
 
@@ -24,6 +24,11 @@ def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return curriculum.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
 
 
+def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = lm_score.scored(table(spark, sf_dir, "documents").select("doc_id", "text"), order=3, backoff=0.4)
+    return out.select("doc_id", "n_tokens", F.round("log_score", 4).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"))
+
+
 def op5_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     weights = quality.fit(docs, table(spark, sf_dir, "labels"), folds=3, held_out=1)
@@ -35,6 +40,10 @@ def op6_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.digest(license_scan.detections(table(spark, sf_dir, "documents").select("doc_id", "text")))
 
 
+def op7_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_repeats.digest(suffix_repeats.without_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"), length=50))
+
+
 def op8_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(table(spark, sf_dir, "embeddings"), every=20, k=20, scale=64)
 
@@ -50,7 +59,7 @@ def op10_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_toxicity, op2_simhash, op3_mix, op5_quality, op6_licenses, op8_topk, op9_main_text, op10_decontaminate)
+    for f in (op1_toxicity, op2_simhash, op3_mix, op4_lm_score, op5_quality, op6_licenses, op7_repeats, op8_topk, op9_main_text, op10_decontaminate)
 }
 
 MIX_SQL = r"""
@@ -99,4 +108,40 @@ SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIG
 FROM lowered LEFT JOIN n USING (r) LEFT JOIN h USING (r)
 """
 
-ORACLE = {"op3_mix": MIX_SQL, "op6_licenses": license_scan.sql(), "op8_topk": TOPK_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+#: Bytes as pairs of hexadecimal digits, so that places are counted in bytes; texts in chunks, since a place deep in a long string is slow to reach.
+REPEATS_SQL = """
+WITH d AS (SELECT row_number() OVER () AS r, doc_id, hex(encode(coalesce(text, ''))) AS x FROM documents),
+c AS (SELECT r, doc_id, q, substr(x, 1024 * q + 1, 2 * (512 + 49)) AS y FROM (SELECT *, unnest(range(0, length(x) // 1024 + 1)) AS q FROM d)),
+w AS (SELECT r, doc_id, 512 * q + o AS p, substr(y, 2 * o + 1, 100) AS k FROM (SELECT *, unnest(range(0, least(512, length(y) // 2 - 49))) AS o FROM c)),
+m AS (SELECT k, min(doc_id) AS least FROM w GROUP BY k),
+g AS (SELECT r, p FROM w JOIN m USING (k) WHERE least < doc_id),
+s AS (SELECT *, CASE WHEN p <= lag(p) OVER (PARTITION BY r ORDER BY p) + 50 THEN 0 ELSE 1 END AS new FROM g),
+n AS (SELECT *, sum(new) OVER (PARTITION BY r ORDER BY p) AS span FROM s),
+e AS (SELECT r, span, min(p) AS a, max(p) + 50 AS b FROM n GROUP BY r, span),
+q AS (SELECT r, CAST(sum(b - a) AS BIGINT) AS n_removed, count(*) AS n_spans, list(a ORDER BY a) AS firsts, list(b ORDER BY a) AS ends FROM e GROUP BY r),
+k AS (SELECT d.r, doc_id, x, n_removed, n_spans,
+             CASE WHEN n_spans IS NULL THEN x ELSE array_to_string(list_transform(range(0, n_spans + 1),
+               lambda i: substr(x, 2 * (CASE WHEN i = 0 THEN 0 ELSE ends[i] END) + 1, 2 * ((CASE WHEN i = n_spans THEN length(x) // 2 ELSE firsts[i + 1] END) - (CASE WHEN i = 0 THEN 0 ELSE ends[i] END)))), '') END AS y
+      FROM d LEFT JOIN q USING (r))
+SELECT doc_id, CAST(length(x) // 2 AS BIGINT) AS n_bytes, coalesce(n_removed, 0) AS n_removed, CAST(coalesce(n_spans, 0) AS BIGINT) AS n_spans, sha256(unhex(y)) AS kept_sha256 FROM k
+"""
+
+LM_SQL = r"""
+WITH t AS (SELECT row_number() OVER () AS r, doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+n AS (SELECT sum(len(w)) AS tokens FROM t),
+p AS (SELECT r, len(w) AS size, i, w[i] AS a, CASE WHEN i > 1 THEN w[i - 1] || ' ' || w[i] END AS b, CASE WHEN i > 2 THEN w[i - 2] || ' ' || w[i - 1] || ' ' || w[i] END AS c
+      FROM (SELECT *, unnest(range(1, len(w) + 1)) AS i FROM t)),
+q AS (SELECT r, size, i,
+        count(*) OVER (PARTITION BY a) - count(*) OVER (PARTITION BY a, r) AS c1,
+        CASE WHEN b IS NOT NULL THEN count(*) OVER (PARTITION BY b) - count(*) OVER (PARTITION BY b, r) END AS c2,
+        CASE WHEN c IS NOT NULL THEN count(*) OVER (PARTITION BY c) - count(*) OVER (PARTITION BY c, r) END AS c3
+      FROM p),
+l AS (SELECT *, lag(c1) OVER (PARTITION BY r ORDER BY i) AS p1, lag(c2) OVER (PARTITION BY r ORDER BY i) AS p2 FROM q),
+s AS (SELECT r, CASE WHEN c3 > 0 AND p2 > 0 THEN ln(c3::DOUBLE / p2)
+        WHEN c2 > 0 AND p1 > 0 THEN ln(c2::DOUBLE / p1) + CASE WHEN i > 2 THEN ln(0.4::DOUBLE) ELSE 0 END
+        ELSE ln((CASE WHEN c1 > 0 THEN c1 ELSE 0.5 END)::DOUBLE / greatest(1, tokens - size)) + least(i - 1, 2) * ln(0.4::DOUBLE) END AS x FROM l, n),
+g AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(x, 0), 4)::DOUBLE AS log_score, round(x / len(w), 6)::DOUBLE AS mean_log_score FROM t LEFT JOIN g USING (r)
+"""
+
+ORACLE = {"op4_lm_score": LM_SQL, "op3_mix": MIX_SQL, "op7_repeats": REPEATS_SQL, "op6_licenses": license_scan.sql(), "op8_topk": TOPK_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
