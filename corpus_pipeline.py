@@ -1,12 +1,66 @@
-"""Corpus preparation: stages over `documents`, each written as Parquet and read again as the next one's docs."""
+"""Corpus preparation: stages over `documents`, each written as Parquet and read again as the next one's docs.
+
+Every stage but the last returns the columns of its input, works on all rows it gets and applies its decisions:
+toxicity drops the documents that its model rejects; near-duplicates keep the document with the smallest id of each group; repeats cuts passages that an
+earlier document holds (texts are cut at whole letters, n_chars follows, a document that loses all its text goes); decontamination drops documents with
+passages of two or more benchmark items; mixing returns one row per copy taken, range-sorted by training position.
+
+Nulls, empty tables and repeated rows have the results that the operators define; of repeated rows (same id, same text) one stays.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from tessera.llm import curriculum, decontaminate, simhash, suffix_repeats, toxicity
+from tessera.llm.common import materialize, table
+
+Docs = DataFrame
+
+
+def drop_toxic(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    model = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
+    scored = toxicity.scored(docs, model)
+    return scored.where(F.col("toxic_score") < 0.5).select(*docs.columns)
+
+
+def one_of_each_group(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    found = materialize(simhash.near_duplicates(docs, distance=2, shingle=3))
+    winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("winner")).agg(F.count("*").alias("times"))
+    kept = docs.join(winners, docs.doc_id.eqNullSafe(winners.winner), "left_semi")
+    return kept.dropDuplicates(["doc_id", "text"]) if winners.where("times > 1").limit(1).count() else kept
+
+
+def cut_repeats(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    cut = suffix_repeats.without_repeats(docs, length=50, with_text=True).where((F.size("spans") == 0) | (F.trim("kept_text") != ""))
+    changed = F.size("spans") > 0
+    made = {"text": F.col("kept_text"), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
+    return cut.select(*[made[c].alias(c) if made.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+
+
+def drop_contaminated(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=8)
+    return scanned.where(F.size("hit_items") < 2).select(*docs.columns)
+
+
+def mix(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    return curriculum.training_order(curriculum.curriculum(docs))
+
 
-STAGES: list = []
+STAGES = [
+    ("toxicity", drop_toxic),
+    ("near_duplicates", one_of_each_group),
+    ("repeats", cut_repeats),
+    ("decontamination", drop_contaminated),
+    ("mixing", mix),
+]
+#: The toxicity model is trained, which SQL can't express.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet")
+    docs = table(spark, sf_dir, "documents")
+    for _, stage in STAGES:
+        docs = materialize(stage(spark, docs, sf_dir))
+    return docs
