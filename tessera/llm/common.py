@@ -9,8 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Words of the shingle and mixing contracts: runs of anything but ASCII white space.
-SPACED_WORD = r"[^\x20\x09-\x0D]+"
+#: What parts the words of the shingle and mixing contracts: ASCII white space.
+SPACES = r"[\x20\x09-\x0D]+"
 #: Words of the decontamination and license contracts: runs of ASCII letters, digits and all other code points from U+0080.
 ALNUM_WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -42,6 +42,11 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.parquet(path)
 
 
+def word_count(text: Column, separators: str) -> Column:
+    """How many words the runs of separators part a text into; null: 0. Splitting is several times as fast here as counting matches."""
+    return F.when(text.isNull(), 0).otherwise(F.size(F.array_remove(F.split(text, separators), ""))).cast("long")
+
+
 def id_text(name: str = "doc_id") -> Column:
     return F.coalesce(F.col(name).cast("string"), F.lit(""))
 

@@ -17,7 +17,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import SPACED_WORD, id_text, without_clashes
+from .common import SPACES, id_text, without_clashes, word_count
 
 ADDED = ["size", "source_size", "target", "taken", "schedule"]
 BUCKET_HEX = 3
@@ -57,7 +57,7 @@ def curriculum(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ramps: tup
         "k_null": F.col("source").isNull().cast("int"),
         "k_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
         "k_hash": F.md5(id_text().cast("binary")),
-        "size": F.coalesce(F.regexp_count("text", F.lit(SPACED_WORD)), F.lit(0)).cast("long"),
+        "size": word_count(F.col("text"), SPACES),
     }).withColumn("k_bucket", F.substring("k_hash", 1, BUCKET_HEX))
     buckets = keyed.groupBy("k_null", "k_source", "k_bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("k_null", "k_source").agg(F.sum("bucket_size").alias("s")), weights, cap)
