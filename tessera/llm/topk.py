@@ -11,7 +11,7 @@ cell's) and, of the ties at the kth score, its k smallest ids; both bounds lose
 Defined cases: vectors that are null, empty or hold null or non-finite components take no part; vectors of unequal lengths
 have no score; a query never meets its own row, but other rows with its id count as candidates like any other; fewer
 candidates than k give all; an empty table gives an empty result. Scores are exact: products whose sums could exceed 2^53 are
-computed with Python's integers, and scores beyond a long are held at its ends.
+computed with Python's integers, and scores beyond 2^61 either way are held there.
 """
 
 from __future__ import annotations
@@ -29,7 +29,7 @@ CELL_ROWS, CELL_QUERIES = 16384, 4096
 BLOCK_SCORES = 1 << 21
 #: Bin widths of the rounds, as powers of two; the first is chosen from the scores' bound.
 BITS_A_ROUND = 10
-TOP = (1 << 63) - 1
+TOP = 1 << 61
 
 
 def quantized(vectors: DataFrame, scale: int = 64) -> DataFrame:
@@ -76,8 +76,7 @@ def _bins(k: int, wide: int, fine: int):
         for part, scores in _blocks(left, right):
             base = low[part][:, None]
             inside = _others(left, right, part) & (scores >= base)
-            if wide < 62:
-                inside &= scores - base < (1 << wide)
+            inside &= scores - base <= (1 << wide) - 1
             for i in range(len(scores)):
                 got = scores[i][inside[i]]
                 if len(got) > k:
@@ -130,8 +129,8 @@ def top_k(vectors: DataFrame, every: int = 20, k: int = 20, scale: int = 64) ->
     bits = max(1, int(largest * largest * max(1, dim)).bit_length() + 1)
 
     known = queries.select("row", "query_id").withColumns({"low": F.lit(None).cast("long"), "need": F.lit(k).cast("long")})
-    known = known.withColumn("low", F.lit(-(1 << min(bits, 62))).cast("long"))
-    width = min(bits, 62) + 1
+    known = known.withColumn("low", F.lit(-(1 << min(bits, 61))).cast("long"))
+    width = min(bits, 61) + 1
     while width > 0:
         finer = max(0, width - BITS_A_ROUND)
         asked = spread(queries.join(known.select("row", "low"), "row"))
