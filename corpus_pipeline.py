@@ -19,10 +19,21 @@ from tessera.llm.common import materialize, table
 Docs = DataFrame
 
 
+def carried(docs: Docs) -> Docs:
+    """doc_id and text for an operator, and the other columns as one struct, so that their names can't clash with those of the operator."""
+    others = [F.col(f"`{c}`") for c in docs.columns if c != "text"]
+    return docs.select(F.struct(*others).alias("row_"), "doc_id", "text")
+
+
+def restored(found: DataFrame, docs: Docs, **made) -> Docs:
+    """The columns of docs again, in their order; made: columns that the stage changes, where docs has them."""
+    column = {c: F.col("text") if c == "text" else F.col("row_").getField(c) for c in docs.columns} | {c: v for c, v in made.items() if c in docs.columns}
+    return found.select(*[column[c].alias(c) for c in docs.columns])
+
+
 def drop_toxic(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
-    scored = toxicity.scored(docs, model)
-    return scored.where(F.col("toxic_score") < 0.5).select(*docs.columns)
+    return restored(toxicity.scored(carried(docs), model).where(F.col("toxic_score") < 0.5), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
@@ -33,15 +44,14 @@ def one_of_each_group(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
 
 
 def cut_repeats(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    cut = suffix_repeats.without_repeats(docs, length=50, with_text=True).where((F.size("spans") == 0) | (F.trim("kept_text") != ""))
+    cut = suffix_repeats.without_repeats(carried(docs), length=50, with_text=True)
     changed = F.size("spans") > 0
-    made = {"text": F.col("kept_text"), "n_chars": F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("n_chars")) if "n_chars" in docs.columns else None}
-    return cut.select(*[made[c].alias(c) if made.get(c) is not None else F.col(f"`{c}`") for c in docs.columns])
+    left = cut.where(~changed | (F.trim("kept_text") != ""))
+    return restored(left, docs, text=F.col("kept_text"), n_chars=F.when(changed, F.length("kept_text").cast("long")).otherwise(F.col("row_").getField("n_chars")) if "n_chars" in docs.columns else None)
 
 
 def drop_contaminated(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    scanned = decontaminate.scan(docs, table(spark, sf_dir, "benchmark"), window=8)
-    return scanned.where(F.size("hit_items") < 2).select(*docs.columns)
+    return restored(decontaminate.scan(carried(docs), table(spark, sf_dir, "benchmark"), window=8).where(F.size("hit_items") < 2), docs)
 
 
 def mix(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
