@@ -73,11 +73,10 @@ PHRASINGS = [
 IDENTIFIER = ("spdx", 100, 1.0, "spdx licen[cs]e identifier {}")
 #: Licenses whose bare spelling is an ordinary word or name: no rule for the mention alone.
 NO_MENTION = {"mit", "boost-1", "python-2", "postgresql", "openssl", "isc", "zlib"}
-#: Words of which at least one stands in every text that a rule or base phrase can match.
-TRIGGERS = sorted({k for _, keys, _, _ in LICENSES for k in keys.split("|")} | {"spdx", "mit", "apache", "cc"})
-
-
-WORD_LETTER = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]"
+#: The name of this license is a common word of German: all its phrasings name the word license too.
+NAMED_IN_FULL = {"mit"}
+#: Every text that a rule or base phrase can match holds one of these words.
+TRIGGERS = sorted({k for _, keys, _, _ in LICENSES for k in keys.split("|") if k != "mit"} | {"spdx", "license", "licence", "licensed", "licenced"})
 
 
 def pattern(words: str) -> str:
@@ -95,7 +94,8 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
     """(rule number, label, keyword, regular expression, priority, confidence), one row for each keyword's part of a rule."""
     out = []
     for label, keys, spellings, short in LICENSES:
-        forms = [(p, c, phrase, s) for _, p, c, phrase in PHRASINGS for s in spellings if not (phrase == "{}" and label in NO_MENTION)]
+        phrasings = [(p, c, phrase.replace("licen[cs]e?", "licen[cs]e") if label in NAMED_IN_FULL else phrase) for _, p, c, phrase in PHRASINGS]
+        forms = [(p, c, phrase, s) for p, c, phrase in phrasings for s in spellings if not (phrase == "{}" and label in NO_MENTION)]
         forms.append((IDENTIFIER[1], IDENTIFIER[2], IDENTIFIER[3], short))
         for priority, confidence, phrase, spelling in forms:
             expression = pattern(phrase.replace("{}", spelling))
@@ -105,9 +105,13 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
 
 
 def words_of(text: Column) -> Column:
-    """The text in lower case (A-Z only), every word between two blanks of its own."""
-    spaced = F.regexp_replace(F.translate(text, UPPER, UPPER.lower()), SEPARATORS, "  ")
-    return F.concat(F.lit(" "), F.trim(spaced), F.lit(" "))
+    """The words of the text in lower case (A-Z only); null: none."""
+    return F.coalesce(F.array_remove(F.split(F.translate(text, UPPER, UPPER.lower()), SEPARATORS), ""), F.array().cast("array<string>"))
+
+
+def spaced(words: Column) -> Column:
+    """Every word between two blanks of its own."""
+    return F.concat(F.lit(" "), F.array_join(words, "  "), F.lit(" "))
 
 
 def _count(spaced: Column) -> Column:
@@ -128,16 +132,32 @@ def _places(norm: Column, expression: Column) -> Column:
     return F.aggregate(pairs, start, step, lambda acc: acc["found"])
 
 
+def _overlapping(hits: Column) -> Column:
+    """The detections in groups of places that overlap, which keeps a text with thousands of places from comparing all with all."""
+    kind = "array<struct<first:int,words:int,label:string,priority:int,confidence:double,rule:int>>"
+    ordered = F.array_sort(F.transform(hits, lambda h: F.struct(*[h[c].alias(c) for c in ("first", "words", "label", "priority", "confidence", "rule")])))
+    start = F.struct(F.lit(0).alias("end"), F.array().cast(kind).alias("open"), F.array().cast(f"array<{kind}>").alias("closed"))
+
+    def step(acc: Column, d: Column) -> Column:
+        end = d["first"] + d["words"]
+        joined = F.struct(F.greatest(acc["end"], end).alias("end"), F.array_append(acc["open"], d).alias("open"), acc["closed"].alias("closed"))
+        fresh = F.struct(end.alias("end"), F.array(d).alias("open"), F.array_append(acc["closed"], acc["open"]).alias("closed"))
+        return F.when(d["first"] < acc["end"], joined).otherwise(fresh)
+
+    return F.aggregate(ordered, start, step, lambda acc: F.array_append(acc["closed"], acc["open"]))
+
+
 def _named(label: str):
     return lambda x: F.struct(x["first"].alias("first"), F.lit(label).alias("label"))
 
 
 def detections(docs: DataFrame) -> DataFrame:
     """docs with n_words, base (places of base phrases: first, label) and found (detections that stand: label, first, words, priority, confidence, rule)."""
-    made = {"n_words", "base", "found", "norm_"}
+    made = {"n_words", "base", "found", "norm_", "words_"}
     kept = [F.col(f"`{c}`") for c in docs.columns if c.lower() not in made]
-    gate = F.coalesce(F.col("text").rlike(rf"(?i)(?<!{WORD_LETTER})(?:{'|'.join(TRIGGERS)})(?!{WORD_LETTER})"), F.lit(False))
-    spaced = docs.select(*kept, F.coalesce(F.regexp_count("text", F.lit(ALNUM_WORD.replace(r"\x3A-\x60", r"\x3A-\x40\x5B-\x60"))), F.lit(0)).cast("long").alias("n_words"), F.when(gate, words_of(F.col("text"))).alias("norm_"))
+    triggers = F.array(*[F.lit(w) for w in TRIGGERS])
+    split = docs.select(*kept, words_of(F.col("text")).alias("words_"))
+    spaced_ = split.select(*kept, F.size("words_").cast("long").alias("n_words"), F.when(F.arrays_overlap("words_", triggers), spaced(F.col("words_"))).alias("norm_"))
     base = F.flatten(F.array(*[
         F.when(F.contains("norm_", F.lit(pattern(phrase).replace("(?:", "").replace(")", ""))), F.transform(_places(F.col("norm_"), F.lit(pattern(phrase))), _named(label)))
         .otherwise(F.array().cast("array<struct<first:int,label:string>>"))
@@ -151,15 +171,14 @@ def detections(docs: DataFrame) -> DataFrame:
     hits = F.flatten(F.transform(open_rules, lambda r: F.transform(_places(F.col("norm_"), r["expression"]), lambda x: F.struct(
         r["label"].alias("label"), x["first"].alias("first"), x["words"].alias("words"), r["priority"].alias("priority"), r["confidence"].alias("confidence"), r["rule"].alias("rule")))))
     none = F.array().cast("array<struct<label:string,first:int,words:int,priority:int,confidence:double,rule:int>>")
-    raw = spaced.select("*", F.when(F.col("norm_").isNotNull(), base).otherwise(F.array().cast("array<struct<first:int,label:string>>")).alias("base"), F.when(F.col("norm_").isNotNull(), hits).otherwise(none).alias("hits_"))
+    raw = spaced_.select("*", F.when(F.col("norm_").isNotNull(), base).otherwise(F.array().cast("array<struct<first:int,label:string>>")).alias("base"), F.when(F.col("norm_").isNotNull(), hits).otherwise(none).alias("hits_"))
 
     def before(e: Column, d: Column) -> Column:
         inside = (e["first"] <= d["first"]) & (e["first"] + e["words"] >= d["first"] + d["words"])
         equal = (e["priority"] == d["priority"]) & ((e["words"] > d["words"]) | ((e["words"] == d["words"]) & (e["rule"] < d["rule"])))
         return inside & ((e["priority"] > d["priority"]) | equal)
 
-    standing = F.filter("hits_", lambda d: ~F.exists("hits_", lambda e: before(e, d)))
-    return raw.withColumn("found", standing).drop("hits_", "norm_")
+    return raw.withColumn("found", F.flatten(F.transform(_overlapping(F.col("hits_")), lambda c: F.filter(c, lambda d: ~F.exists(c, lambda e: before(e, d)))))).drop("hits_", "norm_")
 
 
 def digest(found: DataFrame) -> DataFrame:
