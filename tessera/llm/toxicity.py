@@ -1,20 +1,19 @@
 """Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
 
-Training (on a bounded sample of labelled rows) distils what toxic text says that ordinary text does not: letter runs of 5 to 10
-bytes whose rate over distinct three-word contexts is far higher in toxic rows (contexts, not occurrences, so that copies of
-one document count once), with all their 5-byte parts just as telling. The ordinary dictionary holds frequent ordinary
-words; the toxic one holds the same words and the toxic runs. A window that either describes equally well compresses to equal
-lengths; a window with toxic runs gets shorter under the toxic dictionary. The bytes saved are compared with a threshold
-calibrated on the training rows, and a logistic curve over (largest saving, number of windows past the threshold) gives the
-score.
-
-Documents are scored where they are read, whole, in windows of WINDOW bytes that overlap by OVERLAP; the model is a few
-kilobytes. Defined cases: null, empty and letterless texts save nothing and get the score of that; without labelled rows of both
-classes every score is 0.
+Texts are brought to words of one byte a letter, each after a mark of two bytes. Training (on a bounded sample of labelled rows) distils what toxic text says
+that ordinary text does not: word beginnings of 4 or 5 letters whose rate over distinct three-word contexts is far higher in toxic rows (contexts, not
+occurrences, so that copies of one document count once). The ordinary dictionary holds frequent ordinary words; the toxic one holds the same and the toxic beginnings. A
+window that both describe equally well compresses to equal lengths; one with toxic words gets shorter under the toxic dictionary. Matches of under MATCH
+bytes don't count, so a match takes in the mark, and what only occurs inside words saves nothing. The bytes saved are compared with a
+threshold calibrated on the training rows, and a logistic curve over (largest saving, number of windows past the threshold, their share) gives the score.
+
+Documents are scored where they are read, whole, in windows of WINDOW bytes that overlap by OVERLAP; the model is a few kilobytes. Defined cases: null, empty
+and letterless texts save nothing and get the score of that; without labelled rows of both classes every score is 0.
 """
 
 from __future__ import annotations
 
+import codecs
 import math
 from collections import Counter
 from collections.abc import Iterator
@@ -30,14 +29,24 @@ from .common import column, labelled
 
 #: Bound of the training sample, in rows.
 TRAINING_ROWS = 4000
-WINDOW, OVERLAP = 48, 12
-RUNS = range(5, 11)
-MATCH = 5
+WINDOW, OVERLAP = 56, 14
+BEGINNINGS = (4, 5)
+MATCH = 6
+MARK = b"\1\2"
 ORDINARY_WORDS = 300
-LEAST_CONTEXTS, LEAST_SHARE, LEAST_LOG_ODDS = 5, 2e-4, 4.5
+THRESHOLDS, RIDGE = range(1, 9), 0.05
+LEAST_CONTEXTS, LEAST_SHARE, LEAST_LOG_ODDS = 5, 2e-4, 3.0
 #: Known to both dictionaries and put after every window, so that zstandard never falls back to storing a window raw.
 ANCHOR = b"0123456789 ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 ABCDEF"
-LETTERS = bytes(c if 97 <= c <= 122 or c >= 128 else 32 for c in range(256))
+LETTERS = bytes(c if 97 <= c <= 122 or c >= 192 and c not in (215, 247) else 32 for c in range(256))
+
+
+def _one_byte(error: UnicodeEncodeError) -> tuple[bytes, int]:
+    """Letters beyond Latin-1 share the upper bytes; a collision of two scripts does no harm."""
+    return bytes(192 + ord(c) % 63 if c.isalpha() else 32 for c in error.object[error.start : error.end]), error.end
+
+
+codecs.register_error("tessera_one_byte", _one_byte)
 
 
 @dataclass(frozen=True)
@@ -45,17 +54,23 @@ class Model:
     ordinary: bytes
     toxic: bytes
     threshold: int
-    weights: tuple[float, float, float] | None
+    weights: tuple[float, ...] | None
 
-    def score(self, most: float, hits: float) -> float:
+    def score(self, savings: list[int]) -> float:
         if self.weights is None:
             return 0.0
-        a, b, c = self.weights
-        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, a + b * most + c * math.log1p(hits)))))
+        z = sum(w * x for w, x in zip(self.weights, measures(savings, self.threshold), strict=True))
+        return 1.0 / (1.0 + math.exp(-max(-500.0, min(500.0, z))))
+
+
+def measures(savings: list[int], threshold: int) -> tuple[float, ...]:
+    """1, the largest saving, and the windows past the threshold by number and by share."""
+    hits = sum(s >= threshold for s in savings)
+    return 1.0, float(max(0, *savings)) if len(savings) > 1 else float(max(0, savings[0])), math.log1p(hits), math.log1p(50.0 * hits / len(savings))
 
 
-def letters(text: str | None) -> bytes:
-    return b" " + text.encode("utf-8", "surrogatepass").lower().translate(LETTERS) if text else b" "
+def words_of(text: str | None) -> list[bytes]:
+    return text.lower().encode("latin-1", "tessera_one_byte").translate(LETTERS).split() if text else []
 
 
 class Ruler:
@@ -75,18 +90,13 @@ class Ruler:
         return zstandard.ZstdCompressor(dict_data=known, compression_params=settings)
 
     def savings(self, text: str | None) -> list[int]:
-        body = letters(text)
+        body = MARK + MARK.join(words_of(text))
         plain, toxic = (c.compress for c in self.compressors)
         step = WINDOW - OVERLAP
         windows = [body[i : i + WINDOW] + ANCHOR for i in range(0, max(1, len(body) - OVERLAP), step)]
         return [len(plain(w)) - len(toxic(w)) for w in windows]
 
 
-def _runs(word: bytes) -> set[bytes]:
-    word = b" " + word
-    return {word[i : i + n] for n in RUNS for i in range(len(word) - n + 1)}
-
-
 def dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
     """(ordinary, toxic) dictionary contents from (text, label) rows."""
     words: tuple[Counter, Counter] = (Counter(), Counter())
@@ -94,34 +104,32 @@ def dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
         seen: set[int] = set()
         for text, is_toxic in rows:
             if is_toxic == label:
-                w = letters(text).split()
+                w = words_of(text)
                 for context in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True):
                     if (key := hash(context)) not in seen:
                         seen.add(key)
                         words[label][context[1]] += 1
     totals = [sum(c.values()) for c in words]
     counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for word, n in words[1].items():
-        for run in _runs(word):
-            counts[1][run] += n
-    for word, n in words[0].items():
-        for run in _runs(word):
-            if run in counts[1]:
-                counts[0][run] += n
+    for label in (1, 0):
+        for word, n in words[label].items():
+            for k in BEGINNINGS:
+                if len(word) >= k and (label or word[:k] in counts[1]):
+                    counts[label][word[:k]] += n
 
-    def odds(run: bytes) -> float:
-        return math.log((counts[1][run] + 0.5) / (totals[1] + 1)) - math.log((counts[0][run] + 0.5) / (totals[0] + 1))
+    def odds(part: bytes) -> float:
+        return math.log((counts[1][part] + 0.5) / (totals[1] + 1)) - math.log((counts[0][part] + 0.5) / (totals[0] + 1))
 
     least = max(LEAST_CONTEXTS, LEAST_SHARE * totals[1])
-    telling = {run: n * odds(run) for run, n in counts[1].items() if n >= least and (odds(run) > LEAST_LOG_ODDS or not counts[0][run])}
-    whole = {run for run in telling if all(run[i : i + MATCH] in telling for i in range(len(run) - MATCH + 1))}
+    telling = {part: n * odds(part) for part, n in counts[1].items() if n >= least and odds(part) > LEAST_LOG_ODDS}
     chosen: Counter = Counter()
     for word, n in words[1].items():
-        if mine := [run for run in _runs(word) if run in whole]:
-            chosen[max(mine, key=lambda run: (telling[run], len(run), run))] += n
-    kept = sorted((run for run, n in chosen.items() if n >= least), key=lambda run: (chosen[run], run))
+        if mine := [word[:k] for k in BEGINNINGS if len(word) >= k and word[:k] in telling]:
+            chosen[max(mine, key=lambda part: (telling[part], len(part)))] += n
+    kept = sorted((part for part, n in chosen.items() if n >= least), key=lambda part: (chosen[part], part))
     common = sorted(words[0].items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS]
-    return b" ".join(w for w, _ in reversed(common)) + b" ", b"\0" + b"\0".join(kept)
+    # a zero byte, which no text has, ends each entry, so that no match runs into the next word's mark
+    return b"".join(b"\0" + MARK + w for w, _ in reversed(common)) + b"\0", b"".join(b"\0" + MARK + part for part in kept)
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
@@ -130,17 +138,21 @@ def train(rows: list[tuple[str, int]]) -> Model:
         return Model(b"", b"", 1, None)
     ordinary, toxic = dictionaries(rows)
     ruler = Ruler(Model(ordinary, toxic, 1, None))
-    savings = [np.array(ruler.savings(text)) for text, _ in rows]
-    most = np.array([max(0, s.max()) for s in savings], float)
-    share = lambda t, y: float((most[labels == y] >= t).mean())
-    threshold = max(range(1, 12), key=lambda t: (share(t, 1) - share(t, 0), -t))
-    x = np.stack([np.ones(len(rows)), most, np.log1p([(s >= threshold).sum() for s in savings])], axis=1)
-    w = np.zeros(3)
-    for _ in range(30):  # Newton's steps with a small ridge, which keeps them finite on separable rows
+    savings = [ruler.savings(text) for text, _ in rows]
+    fits = [(*_logistic(np.array([measures(s, t) for s in savings]), labels), t) for t in THRESHOLDS]
+    _, weights, threshold = max(fits, key=lambda f: (f[0], -f[2]))
+    return Model(ordinary, toxic, threshold, weights)
+
+
+def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
+    """(log likelihood, weights) by Newton's steps with a small ridge, which keeps them finite on separable rows."""
+    w = np.zeros(x.shape[1])
+    for _ in range(30):
         p = 1 / (1 + np.exp(-np.clip(x @ w, -500, 500)))
-        hessian = (x * (p * (1 - p))[:, None]).T @ x + 0.05 * np.eye(3)
-        w = w + np.linalg.solve(hessian, x.T @ (labels - p) - 0.05 * w)
-    return Model(ordinary, toxic, threshold, tuple(float(v) for v in w))
+        hessian = (x * (p * (1 - p))[:, None]).T @ x + RIDGE * np.eye(len(w))
+        w = w + np.linalg.solve(hessian, x.T @ (y - p) - RIDGE * w)
+    p = np.clip(1 / (1 + np.exp(-np.clip(x @ w, -500, 500))), 1e-12, 1 - 1e-12)
+    return float((y * np.log(p) + (1 - y) * np.log(1 - p)).sum()), tuple(float(v) for v in w)
 
 
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 5, held_out: int = 0, bound: int = TRAINING_ROWS) -> Model:
@@ -158,10 +170,7 @@ def scored(docs: DataFrame, model: Model, keep: list[str] | None = None) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ruler = Ruler(known.value)
         for batch in batches:
-            out = []
-            for text in column(batch, "text"):
-                s = ruler.savings(text)
-                out.append(known.value.score(max(0, *s), sum(x >= known.value.threshold for x in s)))
+            out = [known.value.score(ruler.savings(text)) for text in column(batch, "text")]
             arrays = [batch.column(batch.schema.get_field_index(k)) for k in keep]
             yield pa.RecordBatch.from_arrays([*arrays, pa.array(out, pa.float64())], names=[*keep, "toxic_score"])
 
