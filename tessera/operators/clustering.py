@@ -1,7 +1,8 @@
 """Entity resolution: average-linkage clusters of names by cosine distance, and canonical names of the clusters.
 
 Two clusters that average linkage merges below a threshold hold at least one pair below it, so every merge stays inside a component of the graph of
-such pairs. Pairs are found block against block, components by minimum exchange, and the exact algorithm runs in each component.
+such pairs. Equal vectors merge first in any case, so they count as one with their number as weight. Blocks of vectors meet each other, each meeting leaves only links
+that connect what is close in it (never all pairs), components come by minimum exchange, and the exact algorithm runs in each component.
 """
 
 from __future__ import annotations
@@ -20,8 +21,9 @@ THRESHOLD = 0.5
 BLOCK_ROWS = 2048
 
 
-def close_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
-    """(a, b) with a < b and cosine distance below the threshold. vectors: id, vec. Blocks of bounded size meet each other once."""
+def close_links(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_ROWS) -> DataFrame:
+    """(a, b): links that connect the same sets as all pairs with a cosine distance below the threshold. vectors: id, vec. Blocks of bounded size meet each other once,
+    and a meeting leaves at most one link for each of its vectors."""
     n = vectors.count()
     blocks = max(1, -(-n // block_rows))
     rows = materialize(vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec"), F.pmod(F.xxhash64("id"), F.lit(blocks)).alias("block")))
@@ -37,10 +39,17 @@ def close_pairs(vectors: DataFrame, threshold: float, block_rows: int = BLOCK_RO
 
         if not left.num_rows or not right.num_rows:
             return pa.table({"a": pa.array([], pa.int64()), "b": pa.array([], pa.int64())})
-        near = 1.0 - unit(left) @ unit(right).T < threshold
         a, b = left["id"].to_numpy(), right["id"].to_numpy()
-        x, y = np.nonzero(near & (a[:, None] != b[None, :]))
-        pairs = np.unique(np.stack([np.minimum(a[x], b[y]), np.maximum(a[x], b[y])], 1), axis=0)
+        x, y = np.nonzero(1.0 - unit(left) @ unit(right).T < threshold)
+        least_a, least_b = a.copy(), b.copy()
+        while True:  # the smallest id that is linked, from side to side until nothing falls
+            before = (least_a.copy(), least_b.copy())
+            np.minimum.at(least_b, y, least_a[x])
+            np.minimum.at(least_a, x, least_b[y])
+            if (before[0] == least_a).all() and (before[1] == least_b).all():
+                break
+        ids, to = np.concatenate([a, b]), np.concatenate([least_a, least_b])
+        pairs = np.unique(np.stack([to, ids], 1)[ids != to], axis=0)
         return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return low.groupBy("i", "j").cogroup(high.groupBy("i", "j")).applyInArrow(meet, "a long, b long")
@@ -61,22 +70,24 @@ def connected(pairs: DataFrame) -> DataFrame:
             return labels
 
 
-def average_linkage(distances: np.ndarray, threshold: float) -> list[int]:
-    """Cluster numbers by repeatedly merging the two clusters of least mean distance while it is below the threshold; ties go to the first pair."""
+def average_linkage(distances: np.ndarray, threshold: float, weights: list[int] | None = None) -> list[int]:
+    """For each row the first row of its cluster, by repeatedly merging the two clusters of least mean distance while it is below the threshold; ties go to the first pair.
+    weights: how many equal points a row stands for."""
     d = distances.astype(float).copy()
     np.fill_diagonal(d, np.inf)
+    size = [1] * len(d) if weights is None else list(weights)
     members = {i: [i] for i in range(len(d))}
     while len(members) > 1:
         i, j = divmod(int(d.argmin()), len(d))
         if not d[i, j] < threshold:
             break
         i, j = min(i, j), max(i, j)
-        a, b = len(members[i]), len(members[j])
-        merged = (a * d[i] + b * d[j]) / (a + b)
+        merged = (size[i] * d[i] + size[j] * d[j]) / (size[i] + size[j])
         d[i], d[:, i] = merged, merged
         d[i, i] = np.inf
         d[j], d[:, j] = np.inf, np.inf
         members[i] += members.pop(j)
+        size[i] += size[j]
     out = [0] * len(d)
     for rows in members.values():
         for r in rows:
@@ -85,20 +96,22 @@ def average_linkage(distances: np.ndarray, threshold: float) -> list[int]:
 
 
 def clusters(vectors: DataFrame, threshold: float = THRESHOLD) -> DataFrame:
-    """(id, cluster): cluster is the smallest id of its members; every id is in one, alone if nothing is near."""
-    linked = connected(close_pairs(vectors, threshold))
-    rows = vectors.where("vec is not null").select("id", F.col("vec").cast("array<double>").alias("vec")).join(linked, "id")
+    """(id, cluster): cluster is the smallest id of its members; every id is in one, alone if nothing is near or it has no vector."""
+    named = vectors.select("id", F.col("vec").cast("array<double>").alias("vec"))
+    distinct = materialize(named.where("vec is not null").groupBy("vec").agg(F.min("id").alias("id"), F.count("*").alias("weight")))
+    linked = connected(close_links(distinct, threshold))
 
     def cut(table: pa.Table) -> pa.Table:
         order = np.argsort(table["id"].to_numpy())
         ids = table["id"].to_numpy()[order]
         m = np.array([table["vec"][int(i)].as_py() for i in order])
         m = m / np.maximum(np.linalg.norm(m, axis=1, keepdims=True), 1e-300)
-        found = average_linkage(1.0 - m @ m.T, threshold)
+        found = average_linkage(1.0 - m @ m.T, threshold, table["weight"].to_numpy()[order].tolist())
         return pa.table({"id": pa.array(ids, pa.int64()), "cluster": pa.array(ids[found], pa.int64())})
 
-    inside = rows.groupBy("component").applyInArrow(cut, "id long, cluster long")
-    return vectors.select("id").distinct().join(inside, "id", "left").select("id", F.coalesce("cluster", "id").alias("cluster"))
+    inside = distinct.join(linked, "id").groupBy("component").applyInArrow(cut, "id long, cluster long")
+    settled = distinct.select("id", "vec").join(inside, "id", "left").select("vec", F.coalesce("cluster", "id").alias("cluster"))
+    return named.join(settled, "vec", "left").groupBy("id").agg(F.coalesce(F.min("cluster"), F.col("id")).alias("cluster"))
 
 
 def size_classes(found: DataFrame) -> DataFrame:

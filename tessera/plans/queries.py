@@ -43,8 +43,8 @@ bm AS (SELECT query_id, doc_id, sum(times * idf * (tf * 2.5::DOUBLE) / (tf + 1.5
        FROM qt JOIN stats USING (term) JOIN post USING (term), size_ GROUP BY ALL),
 bmr AS (SELECT query_id, doc_id, round(score, 4) AS score FROM bm)"""
 DENSE = """
-de AS (SELECT q.vec_id AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score
-       FROM embeddings q, embeddings e WHERE q.vec_id < 5)"""
+de AS (SELECT q.vec_id // 50 AS query_id, e.vec_id AS doc_id, round(list_cosine_similarity(list_transform(q.embedding, lambda x: CAST(x AS DOUBLE)), list_transform(e.embedding, lambda x: CAST(x AS DOUBLE))), 6) AS score
+       FROM embeddings q, embeddings e WHERE q.vec_id % 50 = 0)"""
 
 
 def _ranked(name: str, n: int) -> str:
@@ -350,11 +350,12 @@ def experiment_grid(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query("""WITH r AS (SELECT DISTINCT role AS model_id, 'chat' AS method, CAST(conv_id % 3 AS INTEGER) AS k, CAST(conv_id AS VARCHAR) AS question FROM conversations),
-f AS (SELECT DISTINCT role AS model_id, 'chat' AS method, CAST(conv_id % 3 AS INTEGER) AS k, CAST(conv_id AS VARCHAR) AS question FROM conversations WHERE turn % 2 = 1)
+f AS (SELECT DISTINCT role AS model_id, 'chat' AS method, CAST(conv_id % 3 AS INTEGER) AS k, CAST(conv_id AS VARCHAR) AS question FROM conversations WHERE role = 'user' AND turn > 0)
 SELECT * FROM r EXCEPT SELECT * FROM f""")
 def resume_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A log of turns as runs; those count as finished whose user has come back."""
     log = b.table(spark, sf_dir, "conversations").select("turn", F.col("role").alias("model_id"), F.lit("chat").alias("method"), (F.col("conv_id") % 3).cast("int").alias("k"), F.col("conv_id").cast("string").alias("question"))
-    return evaluation.pending(log.select(*evaluation.SIGNATURE).distinct(), log.where("turn % 2 = 1"))
+    return evaluation.pending(log.select(*evaluation.SIGNATURE).distinct(), log.where("model_id = 'user' and turn > 0"))
 
 
 RUNS = "ru AS (SELECT event_type AS method, CAST(user_id % 5 AS INTEGER) AS k, CAST(user_id AS VARCHAR) AS question, greatest(0.0::DOUBLE, least(1.0::DOUBLE, coalesce(value, 0) / 1000.0::DOUBLE)) AS score FROM events)"
@@ -382,12 +383,13 @@ def unique_best(spark: SparkSession, sf_dir: str) -> DataFrame:
     return evaluation.uniquely_best(b.runs(spark, sf_dir)).withColumn("share", F.round("share", 6))
 
 
-@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, (coalesce(a.s, 0)::DOUBLE + coalesce(b.s, 0)::DOUBLE) / 2 AS score FROM (SELECT doc_id, quality AS s FROM labels WHERE doc_id % 3 <> 0) a
-FULL OUTER JOIN (SELECT doc_id, toxic AS s FROM labels WHERE doc_id % 5 <> 0) b ON a.doc_id = b.doc_id""")
+@query("""SELECT coalesce(a.doc_id, b.doc_id) AS doc_id, (coalesce(a.s, 0)::DOUBLE + coalesce(b.s, 0)::DOUBLE) / 2 AS score FROM (SELECT doc_id, quality AS s FROM labels) a
+FULL OUTER JOIN (SELECT doc_id, least(1.0::DOUBLE, n_chars / 2000.0::DOUBLE) AS s FROM documents) b ON a.doc_id = b.doc_id""")
 def judge_consensus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    labels = b.table(spark, sf_dir, "labels")
-    judge = lambda c, m: labels.where(F.col("doc_id") % m != 0).select("doc_id", F.col(c).alias("score"))
-    return evaluation.consensus(judge("quality", 3), judge("toxic", 5), ["doc_id"], ["score"])
+    """Two judges: the quality label, where there is one, and a score of the length."""
+    quality = b.table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("score"))
+    length = b.table(spark, sf_dir, "documents").select("doc_id", F.least(F.lit(1.0), F.col("n_chars") / 2000).alias("score"))
+    return evaluation.consensus(quality, length, ["doc_id"], ["score"])
 
 
 PRICE_VALUES = ", ".join(f"('{c}', {i}::DOUBLE, {o}::DOUBLE)" for c, i, o in evaluation.PRICES)

@@ -120,11 +120,25 @@ def test_clusters_equal_the_undivided_algorithm(spark, monkeypatch, threshold):
     unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
     want = clustering.average_linkage(1 - unit @ unit.T, threshold)
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "id long, vec array<double>")
-    pairs = clustering.close_pairs(table, threshold, 16)
-    assert rows(pairs, "a", "b") == [(i, j) for i in range(45) for j in range(i + 1, 45) if 1 - unit[i] @ unit[j] < threshold]
+    near = {(i, j) for i in range(45) for j in range(i + 1, 45) if 1 - unit[i] @ unit[j] < threshold}
+    component = dict(rows(clustering.connected(clustering.close_links(table, threshold, 16)), "id", "component"))
+    root = list(range(45))
+    for _ in range(45):
+        for i, j in near:
+            root[i] = root[j] = min(root[i], root[j])
+    assert [component.get(i, i) for i in range(45)] == root
     assert rows(clustering.clusters(table, threshold), "id", "cluster") == list(enumerate(want))
 
 
+def test_equal_vectors_count_as_often_as_they_occur(spark):
+    vec = np.random.RandomState(1).normal(size=(12, 3))
+    vec = np.concatenate([vec, vec[:4], vec[:2], vec[:2]])
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    want = clustering.average_linkage(1 - unit @ unit.T, 0.4)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)] + [(99, None)], "id long, vec array<double>")
+    assert rows(clustering.clusters(table, 0.4), "id", "cluster") == [*enumerate(want), (99, 99)]
+
+
 def test_resolution(spark):
     named = spark.createDataFrame([("Rider", 0), ("The Rider", 0), ("Left Rein", 1), ("Right Rein", 1), ("Rein", 1), ("Alone", 2)], "name string, cluster long")
     assert dict(rows(clustering.resolve(named), "name", "canonical")) == {"Rider": "Rider", "The Rider": "Rider", "Left Rein": "Left Rein", "Right Rein": "Right Rein", "Rein": "Rein", "Alone": "Alone"}
