@@ -16,14 +16,16 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id
 MESSAGE = "bucket long, block long, kind int, payload binary"
 
 
-def block_count(docs: DataFrame, bytes_each: int = BLOCK_BYTES) -> int:
-    total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    return max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-int(total) // bytes_each))
+def counts(docs: DataFrame) -> tuple[int, int]:
+    """How many blocks and buckets: by bytes of text, and never fewer than spark.sql.shuffle.partitions. Buckets are larger, which keeps messages few."""
+    total = int(docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0)
+    least = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return max(least, -(-total // BLOCK_BYTES)), max(least, -(-total // BUCKET_BYTES))
 
 
 def blocked(docs: DataFrame, blocks: int) -> DataFrame:

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, block_count, blocked, bucket_of, messages, pack, received, rows_of, slices_by
+from .blocks import MESSAGE, blocked, bucket_of, counts, messages, pack, received, rows_of, slices_by
 from .common import ALNUM_TABLE
 
 KEY_BITS = 48
@@ -121,9 +121,9 @@ def scored(docs: DataFrame, order: int = 3, backoff: float = 0.4) -> DataFrame:
     """docs without text plus n_tokens, log_score (natural logarithms, summed over the words) and mean_log_score."""
     made = {"n_tokens", "log_score", "mean_log_score", "block", "text"}
     names = [c for c in docs.columns if c.lower() not in made]
-    blocks = block_count(docs)
+    blocks, buckets = counts(docs)
     by_block = blocked(docs.select(*[F.col(f"`{c}`") for c in names], "text"), blocks).groupBy("block")
-    sent = by_block.applyInArrow(_send(order, blocks), MESSAGE)
+    sent = by_block.applyInArrow(_send(order, buckets), MESSAGE)
     answers = sent.groupBy("bucket").applyInArrow(_answer, MESSAGE)
     schema = docs.select(*[F.col(f"`{c}`") for c in names]).withColumns({"n_tokens": F.lit(0).cast("long"), "log_score": F.lit(0.0), "mean_log_score": F.lit(None).cast("double")}).schema
     return by_block.cogroup(answers.groupBy("block")).applyInArrow(_score(order, backoff, names), schema)

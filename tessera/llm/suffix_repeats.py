@@ -29,11 +29,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, block_count, blocked, bucket_of, messages, pack, received, rows_of, slices_by
+from .blocks import MESSAGE, blocked, bucket_of, counts, messages, pack, received, rows_of, slices_by
 
 SEED = 16
 HOT_DOCUMENTS = 4096
-PIECE = 1 << 18
+PIECE, SUFFIXES, LOWERED = 1 << 18, 1 << 17, 1 << 20
 PLACE_BITS, KEY_BITS = 24, 48
 BYTE = np.random.RandomState(7).randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
@@ -108,10 +108,19 @@ def _runs(group: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray,
     first = np.flatnonzero(new)
     piece = np.searchsorted(starts, at[first], "right") - 1
     number, offset = (np.array([x[i] for x in group])[piece] for i in (0, 1))
-    key = h[place[first].astype(np.int64)] >> np.uint64(64 - KEY_BITS)
+    # least hashes are small: mixed once more, they spread over the buckets
+    key = _mix(h[place[first].astype(np.int64)]) >> np.uint64(64 - KEY_BITS)
     return number, at[first] - starts[piece] + offset, np.diff(np.append(first, len(at))), key
 
 
+def _ascending(keys: np.ndarray) -> np.ndarray:
+    """Distinct keys in order; by sorting, which is faster here than the hashing of np.unique."""
+    keys = np.sort(keys)
+    new = np.ones(len(keys), bool)
+    new[1:] = keys[1:] != keys[:-1]
+    return keys[new]
+
+
 def _documents_by_key(number: np.ndarray, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct keys in order, and in how many documents each occurs."""
     order = np.lexsort((number, key))
@@ -149,7 +158,7 @@ class Contexts:
 
     def __init__(self, ids: np.ndarray, texts: list[bytes], codes: np.ndarray, length: int, buckets: int):
         number, first, windows, key = context_runs(texts, length)
-        code = codes[np.searchsorted(np.unique(key), key)] if len(key) else np.zeros(0, np.uint8)
+        code = codes[np.searchsorted(_ascending(key), key)] if len(key) else np.zeros(0, np.uint8)
         shared, hot = code == CODE_SHARED, code == CODE_HOT
         spread = windows[hot]
         inside = np.arange(spread.sum()) - np.repeat(np.cumsum(spread) - spread, spread)
@@ -245,8 +254,37 @@ def maximal_repeats(prefix: list[int], before: list[int], ids: list[int], length
     return found
 
 
-def least_ids(strings: list[bytes], owner: np.ndarray, length: int) -> list[np.ndarray]:
-    """For each distinct string, the smallest id that holds each of its windows."""
+def _lower(least: np.ndarray, twice: np.ndarray, at: np.ndarray, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, which: np.ndarray, owner: np.ndarray, length: int) -> None:
+    """Sort the suffixes that start at these windows, scan them, and lower `least` for every occurrence of every maximal repeat."""
+    place = at[twice]
+    left = stops[which] - place
+    width = -(-int(left.max()) // 8) * 8
+    rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[place]
+    rows[np.arange(width, dtype=np.uint8) >= left[:, None].astype(np.uint8)] = 0
+    words = rows.view(">u8")
+    order = np.lexsort((left, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))))
+    prefix = common_prefixes(rows[order], left[order])
+    before = np.where(place == starts[which], -1, data[np.maximum(place - 1, 0)].astype(np.int64))
+    repeats = maximal_repeats(prefix.tolist(), before[order].tolist(), owner[which][order].tolist(), length)
+    number = twice[order]
+    if not repeats:
+        return
+    found = np.array(repeats, np.int64)
+    lowered = np.cumsum((found[:, 2] - found[:, 1] + 1) * (found[:, 0] - length + 1))
+    begin = 0
+    while begin < len(found):
+        end = max(begin + 1, int(np.searchsorted(lowered, lowered[begin] + LOWERED)))
+        common, first, last, low = found[begin:end].T
+        times = last - first + 1
+        occurrence = np.arange(times.sum()) + np.repeat(first - (np.cumsum(times) - times), times)
+        reach, low = np.repeat(common - length + 1, times), np.repeat(low, times)
+        inside = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
+        np.minimum.at(least, np.repeat(number[occurrence], reach) + inside, np.repeat(low, reach))
+        begin = end
+
+
+def least_ids(strings: list[bytes], owner: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The smallest id that holds each window of each distinct string, one after the other; where each string's windows begin, and how many it has."""
     sizes = np.fromiter(map(len, strings), np.int64, len(strings))
     windows = sizes - length + 1
     starts = np.cumsum(sizes) - sizes
@@ -254,31 +292,25 @@ def least_ids(strings: list[bytes], owner: np.ndarray, length: int) -> list[np.n
     offset = np.cumsum(windows) - windows
     at = np.arange(windows.sum()) + np.repeat(starts - offset, windows)
     least = np.repeat(owner, windows)
-    _, back, count = np.unique(string_hashes(data, length)[at], return_inverse=True, return_counts=True)
-    twice = np.flatnonzero(count[back] > 1)  # window numbers; the others occur in one string alone
-    if len(twice):
-        which = np.repeat(np.arange(len(strings)), windows)[twice]
-        place = at[twice]
-        left = (starts + sizes)[which] - place
-        width = -(-int(left.max()) // 8) * 8
-        padded = np.concatenate([data, np.zeros(width, np.uint8)])
-        rows = padded[place[:, None] + np.arange(width)]
-        rows[np.arange(width) >= left[:, None]] = 0
-        words = rows.view(">u8")
-        order = np.lexsort((left, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))))
-        prefix = common_prefixes(rows[order], left[order])
-        begin = place == starts[which]
-        before = np.where(begin, -1, data[np.maximum(place - 1, 0)].astype(np.int64))
-        repeats = maximal_repeats(prefix.tolist(), before[order].tolist(), owner[which][order].tolist(), length)
-        number = twice[order]
-        for k in range(0, len(repeats), 1 << 13):
-            common, first, last, low = np.array(repeats[k : k + (1 << 13)], np.int64).T
-            times = last - first + 1
-            occurrence = np.arange(times.sum()) + np.repeat(first - (np.cumsum(times) - times), times)
-            reach, low = np.repeat(common - length + 1, times), np.repeat(low, times)
-            inside = np.arange(reach.sum()) - np.repeat(np.cumsum(reach) - reach, reach)
-            np.minimum.at(least, np.repeat(number[occurrence], reach) + inside, np.repeat(low, reach))
-    return np.split(least, offset[1:])
+    hashes = np.empty(len(at), np.uint64)
+    for begin in range(0, len(data), PIECE):
+        mine = slice(*np.searchsorted(at, (begin, begin + PIECE)))
+        if mine.stop > mine.start:
+            hashes[mine] = string_hashes(data[begin : begin + PIECE + length - 1], length)[at[mine] - begin]
+    order = np.argsort(hashes, kind="stable")
+    new = np.ones(len(order), bool)
+    new[1:] = hashes[order[1:]] != hashes[order[:-1]]
+    groups = np.flatnonzero(new)
+    times = np.diff(np.append(groups, len(order)))
+    twice = order[np.repeat(times > 1, times)]  # window numbers by hash; the others occur in one string alone
+    ends = np.cumsum(times[times > 1])
+    # equal windows stand together, so the array can be sorted and scanned in parts that end between groups
+    begin = 0
+    while begin < len(twice):
+        end = int(ends[min(np.searchsorted(ends, begin + SUFFIXES), len(ends) - 1)])
+        _lower(least, twice[begin:end], at, data, starts, starts + sizes, np.searchsorted(offset, twice[begin:end], "right") - 1, owner, length)
+        begin = end
+    return least, offset, windows
 
 
 def _answer_contexts(length: int):
@@ -297,14 +329,20 @@ def _answer_contexts(length: int):
                     owner[at] = low
                 numbers[k] = at
             sent.append((block, numbers))
-        found = least_ids(list(known), np.array(owner, np.int64), length)
-        # equal neighbours as one: (windows, id) pairs
-        cuts = [np.flatnonzero(np.concatenate([[True], x[1:] != x[:-1]])) for x in found]
+        least, offset, windows = least_ids(list(known), np.array(owner, np.int64), length)
+        # equal neighbours inside a string as one: (windows, id) pairs
+        new = np.ones(len(least), bool)
+        new[1:] = least[1:] != least[:-1]
+        new[offset] = True
+        cut = np.flatnonzero(new)
+        spans = np.diff(np.append(cut, len(least)))
+        first = np.searchsorted(cut, offset)
+        pairs = np.searchsorted(cut, offset + windows) - first
         rows = []
         for block, numbers in sent:
-            ids = np.concatenate([found[k][cuts[k]] for k in numbers.tolist()])
-            times = np.concatenate([np.diff(np.append(cuts[k], len(found[k]))) for k in numbers.tolist()])
-            rows.append((group[0].as_py(), block, 1, pack(times.astype(np.uint16), ids)))
+            times = pairs[numbers]
+            at = np.arange(times.sum()) + np.repeat(first[numbers] - (np.cumsum(times) - times), times)
+            rows.append((group[0].as_py(), block, 1, pack(spans[at].astype(np.uint16), least[cut[at]])))
         return messages(rows)
 
     return answer
@@ -373,18 +411,18 @@ def without_repeats(docs: DataFrame, length: int = 50, with_text: bool = False)
     """docs without text (with_text: kept_text, cut at whole letters) plus n_bytes, spans (first, end) in bytes and kept_sha256 of the bytes left."""
     made = {"kept_text", "n_bytes", "spans", "kept_sha256", "block"}
     names = [c for c in docs.columns if c.lower() not in made and c.lower() != "text"]
-    blocks = block_count(docs)
+    blocks, buckets = counts(docs)
     dealt = blocked(docs.select(*[F.col(f"`{c}`") for c in names], "text"), blocks)
     by_block = dealt.groupBy("block")
-    keys = by_block.applyInArrow(_send_keys(blocks, length), MESSAGE)
+    keys = by_block.applyInArrow(_send_keys(buckets, length), MESSAGE)
     codes = keys.groupBy("bucket").applyInArrow(_answer_keys, MESSAGE)
-    contexts = by_block.cogroup(codes.groupBy("block")).applyInArrow(_send_contexts(blocks, length), MESSAGE)
+    contexts = by_block.cogroup(codes.groupBy("block")).applyInArrow(_send_contexts(buckets, length), MESSAGE)
     answers = codes.unionByName(contexts.groupBy("bucket").applyInArrow(_answer_contexts(length), MESSAGE))
     schema = docs.select(*[F.col(f"`{c}`") for c in names])
     if with_text:
         schema = schema.withColumn("kept_text", F.lit(None).cast("string"))
     schema = schema.withColumns({"n_bytes": F.lit(0).cast("long"), "spans": F.lit(None).cast("array<struct<first:long,end:long>>"), "kept_sha256": F.lit("")}).schema
-    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_cut(blocks, length, names, with_text), schema)
+    return by_block.cogroup(answers.groupBy("block")).applyInArrow(_cut(buckets, length, names, with_text), schema)
 
 
 def digest(found: DataFrame) -> DataFrame:
