@@ -16,26 +16,21 @@ def chapter_ranges(toc: DataFrame) -> DataFrame:
 
 
 def assign_chapters(pages: DataFrame, ranges: DataFrame) -> DataFrame:
-    """pages (level, page, ...) with chapter_num, chapter_name and titles. Without a chapter: 0 and Intro.
+    """pages (level, page, ...) with chapter_num, chapter_name and titles: the first chapter, by number, whose range holds the page; without one 0 and Intro.
 
-    Ranges of a level don't overlap, so each page meets the last chapter that starts at or before it: pages and starts are merged in order by one window per level and book,
-    which needs no nested loop.
+    A level's ranges travel as one array, so each page meets one row and is neither multiplied nor regrouped.
     """
-    keys = [c for c in ("level", "book") if c in pages.columns]
-    starts = ranges.where("start is not null").select("level", F.col("start").alias("page"), F.struct("num", "name", "end", "subs").alias("ch"))
-    if "book" in keys:
-        starts = starts.join(pages.select("level", "book").distinct(), "level")
-    both = pages.withColumn("ch", F.lit(None).cast(starts.schema["ch"].dataType)).withColumn("is_page", F.lit(1)).unionByName(starts.withColumn("is_page", F.lit(0)), allowMissingColumns=True)
-    last = F.last("ch", True).over(Window.partitionBy(*keys).orderBy("page", "is_page", F.col("ch.num")).rowsBetween(Window.unboundedPreceding, 0))
-    found = both.withColumn("last", last).where("is_page = 1").withColumn("in_", F.col("last").isNotNull() & (F.col("page") <= F.coalesce(F.col("last.end"), F.col("page"))))
-    return found.select(
-        *pages.columns, F.when(F.col("in_"), F.col("last.num")).otherwise(0).alias("chapter_num"), F.when(F.col("in_"), F.col("last.name")).otherwise("Intro").alias("chapter_name"),
-        F.when(F.col("in_"), F.try_element_at("last.subs", F.col("page"))).alias("titles"),
-    )
+    chapter = F.struct("num", "name", "start", "end", F.map_entries("subs").alias("subs"))  # maps have no order, so they can't be sorted
+    by_level = ranges.where("start is not null").groupBy("level").agg(F.array_sort(F.collect_list(chapter)).alias("chapters"))
+    joined = pages.join(by_level, "level", "left")
+    holding = F.filter("chapters", lambda c: (c["start"] <= F.col("page")) & (F.col("page") <= F.coalesce(c["end"], F.col("page"))))
+    found = joined.withColumn("ch_", F.try_element_at(holding, F.lit(1)))
+    here = F.try_element_at(F.filter("ch_.subs", lambda e: e["key"] == F.col("page")), F.lit(1))["value"]
+    return found.select(*pages.columns, F.coalesce("ch_.num", F.lit(0)).alias("chapter_num"), F.coalesce("ch_.name", F.lit("Intro")).alias("chapter_name"), here.alias("titles"))
 
 
 def carry_subchapters(pages: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """pages with subchapter_name: a page with titles has them all, joined by commas; later pages of the same chapter run carry its last title."""
+    """pages with subchapter_name: a page with titles has them all, joined by bars; later pages of the same chapter run carry its last title."""
     keys = by or [c for c in ("level", "book") if c in pages.columns]
     order = Window.partitionBy(*keys).orderBy("page")
     changed = F.coalesce((F.col("chapter_num") != F.lag("chapter_num").over(order)).cast("int"), F.lit(1))
@@ -43,4 +38,4 @@ def carry_subchapters(pages: DataFrame, by: list[str] | None = None) -> DataFram
     inside = Window.partitionBy(*keys, "run_").orderBy("page").rowsBetween(Window.unboundedPreceding, 0)
     own = F.when(F.size("titles") > 0, F.col("titles"))
     carried = F.last(F.element_at(own, -1), True).over(inside)
-    return run.withColumn("subchapter_name", F.coalesce(F.array_join(own, ", "), carried, F.lit(""))).drop("changed_", "run_")
+    return run.withColumn("subchapter_name", F.coalesce(F.array_join(own, " | "), carried, F.lit(""))).drop("changed_", "run_")

@@ -410,15 +410,15 @@ SUB_VALUES = ", ".join(f"({lv}, {n}, '{s}', {at})" for lv, n, _, _, subs in b.CO
 
 @query(f"""WITH c(level, num, name, page) AS (VALUES {CONTENT_VALUES}), sub(level, num, title, spot) AS (VALUES {SUB_VALUES}),
 r AS (SELECT level, num, name, page AS start, lead(page) OVER (PARTITION BY level ORDER BY num) - 1 AS stop FROM c),
-p AS (SELECT CAST(doc_id % 2 AS INTEGER) AS level, CAST(doc_id AS INTEGER) AS page FROM documents),
-a AS (SELECT p.level, p.page, coalesce(arg_max(r.num, r.start), 0) AS chapter_num, coalesce(arg_max(r.name, r.start), 'Intro') AS chapter_name FROM p LEFT JOIN r ON r.level = p.level AND p.page BETWEEN r.start AND coalesce(r.stop, 2147483647) GROUP BY ALL),
-ti AS (SELECT level, num, spot, string_agg(title, ', ' ORDER BY title) AS titles, max(title) AS last_ FROM sub GROUP BY ALL),
-w AS (SELECT a.*, titles, last_, sum(CASE WHEN chapter_num IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY level ORDER BY page) AS run FROM (SELECT a.*, ti.titles, ti.last_, lag(chapter_num) OVER (PARTITION BY a.level ORDER BY page) AS before FROM a LEFT JOIN ti ON ti.level = a.level AND ti.num = chapter_num AND ti.spot = page) a)
-SELECT level, page, CAST(chapter_num AS INTEGER) AS chapter_num, chapter_name, coalesce(titles, last_value(last_ IGNORE NULLS) OVER (PARTITION BY level, run ORDER BY page), '') AS subchapter_name FROM w""")
+p AS (SELECT CAST(doc_id % 2 AS INTEGER) AS level, source AS book, CAST(doc_id AS INTEGER) AS page FROM documents),
+a AS (SELECT p.level, book, p.page, coalesce(min(r.num), 0) AS chapter_num, coalesce(arg_min(r.name, r.num), 'Intro') AS chapter_name FROM p LEFT JOIN r ON r.level = p.level AND p.page BETWEEN r.start AND coalesce(r.stop, 2147483647) GROUP BY ALL),
+ti AS (SELECT level, num, spot, string_agg(title, ' | ' ORDER BY title) AS titles, max(title) AS last_ FROM sub GROUP BY ALL),
+w AS (SELECT a.*, sum(CASE WHEN chapter_num IS DISTINCT FROM before THEN 1 ELSE 0 END) OVER (PARTITION BY level, book ORDER BY page) AS run FROM (SELECT a.*, ti.titles, ti.last_, lag(chapter_num) OVER (PARTITION BY a.level, book ORDER BY page) AS before FROM a LEFT JOIN ti ON ti.level = a.level AND ti.num = chapter_num AND ti.spot = page) a)
+SELECT level, book, page, CAST(chapter_num AS INTEGER) AS chapter_num, chapter_name, coalesce(titles, last_value(last_ IGNORE NULLS) OVER (PARTITION BY level, book, run ORDER BY page), '') AS subchapter_name FROM w""")
 def chapter_assignment(spark: SparkSession, sf_dir: str) -> DataFrame:
-    pages = b.table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).cast("int").alias("level"), F.col("doc_id").cast("int").alias("page"))
+    pages = b.table(spark, sf_dir, "documents").select((F.col("doc_id") % 2).cast("int").alias("level"), F.col("source").alias("book"), F.col("doc_id").cast("int").alias("page"))
     found = contents.assign_chapters(pages, contents.chapter_ranges(files.toc(spark, b.CONTENTS)))
-    return contents.carry_subchapters(found).select("level", "page", "chapter_num", "chapter_name", "subchapter_name")
+    return contents.carry_subchapters(found).select("level", "book", "page", "chapter_num", "chapter_name", "subchapter_name")
 
 
 @query("""SELECT event_id, CAST(CASE event_id % 4 WHEN 3 THEN NULL ELSE json_extract_string(props, '$.k') END AS BIGINT) AS k, event_id % 4 <> 3 AS valid FROM events""")
