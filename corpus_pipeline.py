@@ -14,7 +14,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import curriculum, decontaminate, simhash, suffix_repeats, toxicity
-from tessera.llm.common import materialize, table
+from tessera.llm.common import table
+from tessera.sources.shared import materialize
 
 Docs = DataFrame
 
