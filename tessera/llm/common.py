@@ -1,10 +1,7 @@
-"""What the operators of this subpackage share: reading, cutting lineage, bounded broadcasts, hashing rules."""
+"""What the operators of this subpackage share: reading, bounded samples, hashing rules."""
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,26 +19,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or in local mode only a temporary folder."""
-    folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if folder:
-        return folder.rstrip("/")
-    if not spark.sparkContext.master.split("[")[0] == "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
-    folder = tempfile.mkdtemp(prefix="tessera-")
-    spark.sparkContext.setCheckpointDir(f"file://{folder}")
-    return f"file://{folder}"
-
-
-def materialize(df: DataFrame) -> DataFrame:
-    """Write df once as a table in the shared folder and return a scan of it: later uses don't recompute it, and no executor holds the only copy."""
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
-    df.write.option("compression", "zstd").parquet(path)
-    return spark.read.parquet(path)
-
-
 def word_count(text: Column, separators: str) -> Column:
     """How many words the runs of separators part a text into; null: 0. Splitting is several times as fast here as counting matches."""
     return F.when(text.isNull(), 0).otherwise(F.size(F.array_remove(F.split(text, separators), ""))).cast("long")

@@ -20,7 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM_TABLE, column, materialize
+from ..sources.shared import materialize
+from .common import ALNUM_TABLE, column
 
 SHARD_BYTES = 24 << 20
 BLOCK = 2

@@ -26,7 +26,8 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import column, materialize, sized_partitions
+from ..sources.shared import materialize
+from .common import column, sized_partitions
 
 BITS = 64
 SEED = 42
