@@ -120,8 +120,8 @@ def uniquely_best(results: DataFrame) -> DataFrame:
     each = results.groupBy("question", "method").agg(F.max("score").alias("s"))
     winners = each.groupBy("question").agg(F.max("s").alias("best"), F.collect_set(F.struct("s", "method")).alias("all"))
     alone = winners.select("question", F.filter("all", lambda x: x["s"] == F.col("best")).alias("w"))
-    total = alone.agg(F.count("*").alias("n"))
-    return alone.where(F.size("w") == 1).groupBy(F.col("w")[0]["method"].alias("method")).agg(F.count("*").alias("questions")).join(total).select("method", "questions", (F.col("questions") / F.col("n")).alias("share"))
+    total = alone.agg(F.count("*").alias("n")).scalar()
+    return alone.where(F.size("w") == 1).groupBy(F.col("w")[0]["method"].alias("method")).agg(F.count("*").alias("questions")).select("method", "questions", (F.col("questions") / total).alias("share"))
 
 
 def cost_rollup(df: DataFrame, by: list[str], value: str) -> DataFrame:
