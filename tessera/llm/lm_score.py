@@ -47,24 +47,45 @@ class Grams:
             self.keys.append((mixed ^ (mixed >> np.uint64(29))) * MULTIPLIERS[2] >> SHIFT)
             self.numbers.append(np.where(inside, number[n - 1 :], -1))
 
-    def distinct(self) -> tuple[np.ndarray, np.ndarray]:
-        return np.unique(np.concatenate([k[d >= 0] for k, d in zip(self.keys, self.numbers, strict=True)]), return_counts=True)
-
-    def others(self, known: np.ndarray, totals: np.ndarray, n: int) -> np.ndarray:
+    def distinct(self) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+        """The distinct keys of all orders, ascending; how often each occurs; and per order the number of each n-gram's key among them, -1 where none is."""
+        valid = [d >= 0 for d in self.numbers]
+        keys = np.concatenate([k[v] for k, v in zip(self.keys, valid, strict=True)])
+        order = np.argsort(keys)
+        ascending = keys[order]
+        new = np.ones(len(keys), bool)
+        new[1:] = ascending[1:] != ascending[:-1]
+        first = np.flatnonzero(new)
+        back = np.empty(len(keys), np.int64)
+        back[order] = np.cumsum(new) - 1
+        places, at = [], 0
+        for v in valid:
+            place = np.full(len(v), -1)
+            place[v] = back[at : at + v.sum()]
+            places.append(place)
+            at += v.sum()
+        return ascending[first], np.diff(np.append(first, len(keys))), places
+
+    def others(self, place: np.ndarray, totals: np.ndarray, n: int) -> np.ndarray:
         """For each word position: in how many places outside the document the n-gram that ends there occurs; -1 where there is none."""
-        keys, numbers = self.keys[n - 1], self.numbers[n - 1]
-        at = np.searchsorted(known, keys)
-        at[numbers < 0] = 0
-        own, back, count = np.unique(at * (len(self.sizes) + 1) + numbers + 1, return_inverse=True, return_counts=True)
-        del own
-        left = np.where(numbers >= 0, totals[at] - count[back], -1) if len(keys) else np.zeros(0, np.int64)
+        numbers = self.numbers[n - 1]
+        left = np.where(place >= 0, 0, -1)
+        # what occurs once in the corpus occurs here alone; only the rest is counted by document
+        more = np.flatnonzero((place >= 0) & (totals[place] > 1)) if len(totals) else np.zeros(0, np.int64)
+        pair = place[more] * (len(self.sizes) + 1) + numbers[more]
+        order = np.argsort(pair)
+        ascending = pair[order]
+        new = np.ones(len(pair), bool)
+        new[1:] = ascending[1:] != ascending[:-1]
+        times = np.diff(np.append(np.flatnonzero(new), len(pair)))
+        left[more[order]] = totals[place[more[order]]] - np.repeat(times, times)
         return np.concatenate([np.full(min(n - 1, int(self.sizes.sum())), -1), left])
 
 
 def _send(order: int, buckets: int):
     def send(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
         grams = Grams(rows_of(table)[2], order)
-        keys, counts = grams.distinct()
+        keys, counts, _ = grams.distinct()
         block = group[0].as_py()
         rows = [(b, block, GRAMS, pack(np.diff(keys[s], prepend=np.uint64(0)), counts[s].astype(np.uint32))) for b, s in slices_by(bucket_of(keys, KEY_BITS, buckets))]
         return messages([*rows, (0, block, TOKENS, pack(int(grams.sizes.sum())))])
@@ -93,15 +114,15 @@ def _score(order: int, backoff: float, names: list[str]):
         grams = Grams(texts, order)
         got = received(answers, "bucket")
         tokens = next((values[0] for _, kind, values in got if kind == TOKENS), 0)
-        known = grams.distinct()[0]
+        places = grams.distinct()[2]
         totals = np.concatenate([values[0] for _, kind, values in got if kind == GRAMS] or [np.zeros(0, np.int64)])
         number = np.repeat(np.arange(len(texts)), grams.sizes)
         place = np.arange(len(number)) - np.repeat(np.cumsum(grams.sizes) - grams.sizes, grams.sizes)
         outside = np.maximum(1, tokens - grams.sizes)[number]
-        lower = grams.others(known, totals, 1)
+        lower = grams.others(places[0], totals, 1)
         scores = np.log(np.where(lower > 0, lower, 0.5) / outside)
         for n in range(2, order + 1):
-            these = grams.others(known, totals, n)
+            these = grams.others(places[n - 1], totals, n)
             before = np.concatenate([[-1], lower[:-1]])[: len(lower)]  # the context ends one word earlier
             better = (these > 0) & (before > 0)
             longer = np.log(np.where(better, these, 1) / np.where(better, before, 1))
