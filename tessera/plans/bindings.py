@@ -17,7 +17,14 @@ CONTENTS = [
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    df = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return spread(df) if name in ("documents", "pages") else df
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df over all cores if it lies in fewer files than there are cores: texts in one row group would keep one core busy. Inputs of many files are read as they lie, without a shuffle."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if len(df.inputFiles()) < cores else df
 
 
 def passages(spark: SparkSession, sf_dir: str) -> DataFrame:
