@@ -3,7 +3,7 @@
 Every stage but the last returns the columns of its input, works on all rows it gets and applies its decisions:
 toxicity drops the documents that its model rejects; near-duplicates keep the document with the smallest id of each group; repeats cuts passages that an
 earlier document holds (texts are cut at whole letters, n_chars follows, a document that loses all its text goes); decontamination drops documents with
-passages of two or more benchmark items; mixing returns one row per copy taken, range-sorted by training position.
+a passage of any benchmark item; mixing returns one row per copy taken, range-sorted by training position.
 
 Nulls, empty tables and repeated rows have the results that the operators define; of repeated rows (same id, same text) one stays.
 """
@@ -52,7 +52,7 @@ def cut_repeats(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
 
 
 def drop_contaminated(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    return restored(decontaminate.scan(carried(docs), table(spark, sf_dir, "benchmark"), window=8).where(F.size("hit_items") < 2), docs)
+    return restored(decontaminate.scan(carried(docs), table(spark, sf_dir, "benchmark"), window=8).where(F.size("hit_items") == 0), docs)
 
 
 def mix(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
