@@ -1,7 +1,8 @@
 """Corpus preparation: stages over `documents`, each written as Parquet and read again as the next one's docs.
 
 Every stage but the last returns the columns of its input, works on all rows it gets and applies its decisions:
-toxicity drops the documents that its model rejects; near-duplicates keep the document with the smallest id of each group; repeats cuts passages that an
+toxicity drops the documents that its model rejects; near-duplicates keep the document with the smallest id of each group of
+documents linked by a Jaccard similarity of 0.8 and more over 5-word shingles; repeats cuts passages that an
 earlier document holds (texts are cut at whole letters, n_chars follows, a document that loses all its text goes); decontamination drops documents with
 a passage of any benchmark item; mixing returns one row per copy taken, range-sorted by training position.
 
@@ -13,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import curriculum, decontaminate, simhash, suffix_repeats, toxicity
+from tessera.llm import curriculum, decontaminate, near_copies, suffix_repeats, toxicity
 from tessera.llm.common import table
 from tessera.sources.shared import materialize
 
@@ -38,7 +39,7 @@ def drop_toxic(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
 
 
 def one_of_each_group(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
-    found = materialize(simhash.near_duplicates(docs, distance=2, shingle=3))
+    found = materialize(near_copies.near_copies(docs, shingle=5, least=(4, 5)))
     winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("winner")).agg(F.count("*").alias("times"))
     kept = docs.join(winners, docs.doc_id.eqNullSafe(winners.winner), "left_semi")
     return kept.dropDuplicates(["doc_id", "text"]) if winners.where("times > 1").limit(1).count() else kept

@@ -36,17 +36,25 @@ CHUNK = 4096
 ONE = np.uint64(1)
 
 
-def fingerprint(text: str | None, shingle: int = 3) -> int:
+def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
+    """The hash of every shingle in order; no words: none."""
     words = text.encode("utf-8", "surrogatepass").lower().split() if text else []  # bytes: only A-Z, only ASCII white space
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1) - 1
     starts = np.concatenate([[0], ends[:-1] + 1])
     n = max(1, len(words) - shingle + 1)
     stops = ends[shingle - 1 :] if len(words) >= shingle else ends[-1:]
     digest = xxhash.xxh64_intdigest
-    h = np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)), np.uint64, n)
+    return np.fromiter((digest(joined[a:b], SEED) for a, b in zip(starts[:n].tolist(), stops.tolist(), strict=True)), np.uint64, n)
+
+
+def fingerprint(text: str | None, shingle: int = 3) -> int:
+    h = shingle_hashes(text, shingle)
+    n = len(h)
+    if not n:
+        return 0
     # as bytes of unpacked bits, in slices that bound the memory of a very long text
     counts = np.zeros(BITS, np.int64)
     for at in range(0, n, 1 << 16):

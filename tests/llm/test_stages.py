@@ -25,3 +25,12 @@ def test_a_document_with_a_single_benchmark_item_is_dropped(spark, benchmark_dir
     ]
     kept = corpus_pipeline.drop_contaminated(spark, spark.createDataFrame(rows, "doc_id long, text string"), benchmark_dir)
     assert sorted(r.doc_id for r in kept.collect()) == [3, 4, 5]
+
+
+def test_near_copies_by_similarity_are_dropped(spark):
+    words = [f"w{i}" for i in range(100)]
+    changed = [*words[:50], "other", *words[51:]]  # 91 of 101 five-word shingles shared
+    apart = [w if i % 12 else f"x{i}" for i, w in enumerate(words)]
+    rows = [(1, " ".join(words)), (2, " ".join(changed)), (3, " ".join(apart)), (4, None), (5, " "), (6, "one two"), (7, "ONE two")]
+    kept = corpus_pipeline.one_of_each_group(spark, spark.createDataFrame(rows, "doc_id long, text string"), "")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 3, 4, 6]
