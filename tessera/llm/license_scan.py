@@ -31,7 +31,7 @@ LICENSES = [
     ("lgpl-3", "lesser|lgpl", ["gnu? lgpl v?3|version:3", "gnu? lesser general public licen[cs]e v3|version:3"], "lgpl 3 0"),
     ("lgpl-2.1", "lesser|lgpl", ["gnu? lgpl v?2|version:2 1", "gnu? lesser general public licen[cs]e v2|version:2 1"], "lgpl 2 1"),
     ("agpl-3", "affero|agpl", ["gnu? agpl v?3|version:3", "gnu? affero general public licen[cs]e v3|version:3"], "agpl 3 0"),
-    ("bsd-2-clause", "bsd", ["bsd 2 clause", "simplified bsd", "freebsd"], "bsd 2 clause"),
+    ("bsd-2-clause", "bsd|freebsd", ["bsd 2 clause", "simplified bsd", "freebsd"], "bsd 2 clause"),
     ("bsd-3-clause", "bsd", ["bsd 3 clause", "new bsd", "modified bsd", "revised bsd"], "bsd 3 clause"),
     ("bsd-4-clause", "bsd", ["bsd 4 clause", "original bsd"], "bsd 4 clause"),
     ("mpl-2", "mozilla|mpl", ["mpl 2 0?", "mozilla public licen[cs]e version? 2 0?"], "mpl 2 0"),
@@ -99,7 +99,7 @@ def rules() -> list[tuple[int, str, str, str, int, float]]:
         forms.append((IDENTIFIER[1], IDENTIFIER[2], IDENTIFIER[3], short))
         for priority, confidence, phrase, spelling in forms:
             expression = pattern(phrase.replace("{}", spelling))
-            known = [k for k in keys.split("|") if k in spelling] or (["spdx"] if phrase == IDENTIFIER[3] else keys.split("|")[:1])
+            known = [k for k in keys.split("|") if k in spelling.split()] or (["spdx"] if phrase == IDENTIFIER[3] else keys.split("|")[:1])
             out.append((len(out), label, f" {known[0]} ", expression, priority, confidence))
     return out
 
