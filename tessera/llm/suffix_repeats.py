@@ -12,12 +12,15 @@ text falls into contexts of up to length - SEED + 1 windows each.
    Every maximal repeat gives all its occurrences the smallest id among them.
 3. Blocks compare these ids with their own and cut.
 
+A length below SEED is a seed of its own size; lengths beyond LONGEST are refused.
+
 Hot groups: a minimizer in more than HOT_DOCUMENTS documents doesn't send contexts, which edits make distinct, but single windows, dealt by
 their own hash; equal ones meet as one row per block. So no bucket gathers more than one row per block and distinct window, and
 nothing is capped. Minimizers only choose candidates; a removal always rests on compared bytes.
 
 Defined cases: null and empty texts are zero bytes; texts shorter than `length` lose nothing; rows with the same id don't count against each other;
-a null id comes after all others; repeated rows give equal results; a document of any length is handled in pieces that overlap.
+a null id comes after all others (and ties with the largest long); repeated rows give equal results; a document of any length is handled in pieces that
+overlap; an empty table gives an empty result; input columns named as the added ones or `text` are left out, all other names stay.
 """
 
 from __future__ import annotations
@@ -29,15 +32,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, blocked, bucket_of, counts, messages, pack, received, rows_of, slices_by
+from .blocks import MESSAGE, blocked, bucket_of, counts, cut, joined, messages, narrow, no_messages, packed_keys, rows_of, unpacked_keys
 
-SEED = 16
+SEED, LONGEST = 16, 1 << 15
 HOT_DOCUMENTS = 4096
 PIECE, SUFFIXES, LOWERED = 1 << 18, 1 << 17, 1 << 20
 PLACE_BITS, KEY_BITS = 24, 48
 BYTE = np.random.RandomState(7).randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 CODE_ONE, CODE_SHARED, CODE_HOT = 0, 1, 2
+#: Kinds of messages: keys and what became of them, by the width of the keys' steps; contexts.
+TYPES, CONTEXTS = [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64)], 9
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -92,9 +97,10 @@ def _runs(group: list[tuple[int, int, bytes]], length: int) -> tuple[np.ndarray,
     data = np.frombuffer(b"".join(x[2] for x in group), np.uint8)
     sizes = np.array([len(x[2]) for x in group])
     starts = np.cumsum(sizes) - sizes
-    h = string_hashes(data, SEED)
+    seed = min(SEED, length)
+    h = string_hashes(data, seed)
     least = (h >> np.uint64(PLACE_BITS) << np.uint64(PLACE_BITS)) | np.arange(len(h), dtype=np.uint64)
-    span, width = length - SEED + 1, 1
+    span, width = length - seed + 1, 1
     while width * 2 <= span:
         least = np.minimum(least[:-width], least[width:])
         width *= 2
@@ -135,22 +141,26 @@ def _send_keys(buckets: int, length: int):
         _, _, texts = rows_of(table)
         number, _, _, key = context_runs(texts, length)
         keys, count = _documents_by_key(number, key)
-        rows = []
-        for bucket, part in slices_by(bucket_of(keys, KEY_BITS, buckets)):
-            rows.append((bucket, group[0].as_py(), 0, pack(np.diff(keys[part], prepend=np.uint64(0)), np.minimum(count[part], 65535).astype(np.uint16))))
-        return messages(rows)
+        bucket, ends, steps = packed_keys(keys, KEY_BITS, buckets)
+        return messages(bucket, group[0].as_py(), TYPES.index(steps.dtype), cut(steps, ends), cut(np.minimum(count, 65535).astype(np.uint16), ends))
 
     return send
 
 
 def _answer_keys(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
-    got = received(table, "block")
-    keys = [np.cumsum(values[0], dtype=np.uint64) for _, _, values in got]
+    kinds = table["kind"].to_numpy()
+    blocks, sizes, keys, counts = [], [], [], []
+    for kind in np.unique(kinds).tolist():
+        mine = table.filter(pa.array(kinds == kind))
+        steps, n = joined(mine["a"], TYPES[kind])
+        blocks.append(mine["block"].to_numpy())
+        sizes.append(n)
+        keys.append(unpacked_keys(steps, n))
+        counts.append(joined(mine["b"], np.dtype(np.uint16))[0])
     distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-    total = np.bincount(back, np.concatenate([values[1] for _, _, values in got]), len(distinct))
+    total = np.bincount(back, np.concatenate(counts), len(distinct))
     code = np.where(total < 2, CODE_ONE, np.where(total > HOT_DOCUMENTS, CODE_HOT, CODE_SHARED)).astype(np.uint8)[back]
-    ends = np.cumsum([len(k) for k in keys])
-    return messages([(group[0].as_py(), block, 0, pack(code[e - len(k) : e])) for (block, _, _), k, e in zip(got, keys, ends, strict=True)])
+    return messages(group[0].as_py(), np.concatenate(blocks), 0, cut(code, np.cumsum(np.concatenate(sizes))))
 
 
 class Contexts:
@@ -193,21 +203,24 @@ def _window_buckets(strings: list[bytes], length: int, buckets: int) -> np.ndarr
 
 
 def _codes(table: pa.Table) -> np.ndarray:
-    codes = [values[0] for _, kind, values in received(table, "bucket") if kind == 0]
-    return np.concatenate(codes) if codes else np.zeros(0, np.uint8)
+    """What became of the block's keys, in order."""
+    mine = table.filter(pa.array(table["kind"].to_numpy() != CONTEXTS))
+    return joined(mine["a"].take(pa.array(np.argsort(mine["bucket"].to_numpy()))), np.dtype(np.uint8))[0]
 
 
 def _send_contexts(buckets: int, length: int):
     def send(group: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         if not table.num_rows:
-            return messages([])
+            return no_messages()
         _, ids, texts = rows_of(table)
         c = Contexts(ids, texts, _codes(answers), length, buckets)
-        rows = []
-        for bucket, known in c.entries.items():
-            sizes = np.fromiter(map(len, known), np.uint16, len(known))
-            rows.append((bucket, group[0].as_py(), 1, pack(b"".join(known), sizes, np.array(c.least[bucket], np.int64))))
-        return messages(rows)
+        order = sorted(c.entries)
+        strings = [x for b in order for x in c.entries[b]]
+        sizes = np.fromiter(map(len, strings), np.int64, len(strings))
+        ends = np.cumsum(np.fromiter((len(c.entries[b]) for b in order), np.int64, len(order)))
+        upto = np.append(0, np.cumsum(sizes))[ends]
+        least = np.fromiter((x for b in order for x in c.least[b]), np.int64, len(strings))
+        return messages(np.array(order, np.int64), group[0].as_py(), CONTEXTS, cut(b"".join(strings), upto), cut(sizes.astype(np.uint32), ends), cut(least, ends))
 
     return send
 
@@ -260,7 +273,7 @@ def _lower(least: np.ndarray, twice: np.ndarray, at: np.ndarray, data: np.ndarra
     left = stops[which] - place
     width = -(-int(left.max()) // 8) * 8
     rows = np.lib.stride_tricks.sliding_window_view(np.concatenate([data, np.zeros(width, np.uint8)]), width)[place]
-    rows[np.arange(width, dtype=np.uint8) >= left[:, None].astype(np.uint8)] = 0
+    rows[np.arange(width, dtype=narrow(np.array([width])).dtype) >= left[:, None]] = 0
     words = rows.view(">u8")
     order = np.lexsort((left, *(words[:, k] for k in range(words.shape[1] - 1, -1, -1))))
     prefix = common_prefixes(rows[order], left[order])
@@ -318,11 +331,13 @@ def _answer_contexts(length: int):
         known: dict[bytes, int] = {}
         owner: list[int] = []
         sent: list[tuple[int, np.ndarray]] = []
-        for block, _, (joined, sizes, least) in received(table, "block"):
+        order = np.argsort(table["block"].to_numpy())
+        for block, strings, sizes, least in zip(*(table[n].take(pa.array(order)).to_pylist() for n in ("block", "a", "b", "c")), strict=True):
+            sizes, least = np.frombuffer(sizes, np.uint32), np.frombuffer(least, np.int64)
             ends = np.cumsum(sizes.astype(np.int64))
             numbers = np.empty(len(sizes), np.int64)
             for k, (a, b, low) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), least.tolist(), strict=True)):
-                at = known.setdefault(joined[a:b], len(owner))
+                at = known.setdefault(strings[a:b], len(owner))
                 if at == len(owner):
                     owner.append(low)
                 elif low < owner[at]:
@@ -334,30 +349,30 @@ def _answer_contexts(length: int):
         new = np.ones(len(least), bool)
         new[1:] = least[1:] != least[:-1]
         new[offset] = True
-        cut = np.flatnonzero(new)
-        spans = np.diff(np.append(cut, len(least)))
-        first = np.searchsorted(cut, offset)
-        pairs = np.searchsorted(cut, offset + windows) - first
-        rows = []
-        for block, numbers in sent:
-            times = pairs[numbers]
-            at = np.arange(times.sum()) + np.repeat(first[numbers] - (np.cumsum(times) - times), times)
-            rows.append((group[0].as_py(), block, 1, pack(spans[at].astype(np.uint16), least[cut[at]])))
-        return messages(rows)
+        cut_at = np.flatnonzero(new)
+        spans = np.diff(np.append(cut_at, len(least)))
+        first = np.searchsorted(cut_at, offset)
+        pairs = np.searchsorted(cut_at, offset + windows) - first
+        number = np.concatenate([x for _, x in sent])
+        times = pairs[number]
+        at = np.arange(times.sum()) + np.repeat(first[number] - (np.cumsum(times) - times), times)
+        ends = np.append(0, np.cumsum(times))[np.cumsum([len(x) for _, x in sent])]
+        return messages(group[0].as_py(), np.array([block for block, _ in sent]), CONTEXTS, cut(spans[at].astype(np.uint32), ends), cut(least[cut_at[at]], ends))
 
     return answer
 
 
 def _cut(buckets: int, length: int, names: list[str], with_text: bool):
-    def cut(group: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
+    def cut_out(group: tuple[pa.Scalar, ...], table: pa.Table, answers: pa.Table) -> pa.Table:
         table, ids, texts = rows_of(table)
         c = Contexts(ids, texts, _codes(answers), length, buckets)
         flat: list[np.ndarray] = []
         base: dict[int, np.ndarray] = {}
         size = 0
-        for bucket, kind, values in received(answers, "bucket"):
-            if kind == 1:
-                flat.append(np.repeat(values[1], values[0]))
+        mine = answers.filter(pa.array(answers["kind"].to_numpy() == CONTEXTS))
+        for bucket, spans_of, least in zip(*(mine[n].to_pylist() for n in ("bucket", "a", "b")), strict=True):
+            if bucket in c.entries:
+                flat.append(np.repeat(np.frombuffer(least, np.int64), np.frombuffer(spans_of, np.uint32)))
                 windows = np.fromiter(map(len, c.entries[bucket]), np.int64, len(c.entries[bucket])) - length + 1
                 base[bucket] = size + np.cumsum(windows) - windows
                 size += int(windows.sum())
@@ -381,7 +396,7 @@ def _cut(buckets: int, length: int, names: list[str], with_text: bool):
         for i, a, b in zip(number[at].tolist(), start[at].tolist(), (start[np.append(at[1:], len(start)) - 1] + length).tolist() if len(at) else [], strict=True):
             spans.setdefault(i, []).append((a, b))
         mine = [spans.get(i, []) for i in range(len(texts))]
-        columns = {n: table[n] for n in names}
+        columns = {n: table[f"in_{i}"] for i, n in enumerate(names)}
         if with_text:
             columns["kept_text"] = pa.array([None if known is None else kept(text, s, True).decode("utf-8", "replace") for known, text, s in zip(table["text"].to_pylist(), texts, mine, strict=True)], pa.string())
         columns["n_bytes"] = pa.array([len(t) for t in texts], pa.int64())
@@ -389,7 +404,7 @@ def _cut(buckets: int, length: int, names: list[str], with_text: bool):
         columns["kept_sha256"] = pa.array([hashlib.sha256(kept(t, s)).hexdigest() for t, s in zip(texts, mine, strict=True)], pa.string())
         return pa.table(columns)
 
-    return cut
+    return cut_out
 
 
 def kept(text: bytes, spans: list[tuple[int, int]], whole_letters: bool = False) -> bytes:
@@ -409,11 +424,12 @@ def kept(text: bytes, spans: list[tuple[int, int]], whole_letters: bool = False)
 
 def without_repeats(docs: DataFrame, length: int = 50, with_text: bool = False) -> DataFrame:
     """docs without text (with_text: kept_text, cut at whole letters) plus n_bytes, spans (first, end) in bytes and kept_sha256 of the bytes left."""
-    made = {"kept_text", "n_bytes", "spans", "kept_sha256", "block"}
+    if not 0 < length <= LONGEST:
+        raise ValueError(f"length must be from 1 to {LONGEST}")
+    made = {"kept_text", "n_bytes", "spans", "kept_sha256"}
     names = [c for c in docs.columns if c.lower() not in made and c.lower() != "text"]
     blocks, buckets = counts(docs)
-    dealt = blocked(docs.select(*[F.col(f"`{c}`") for c in names], "text"), blocks)
-    by_block = dealt.groupBy("block")
+    by_block = blocked(docs, names, blocks)
     keys = by_block.applyInArrow(_send_keys(buckets, length), MESSAGE)
     codes = keys.groupBy("bucket").applyInArrow(_answer_keys, MESSAGE)
     contexts = by_block.cogroup(codes.groupBy("block")).applyInArrow(_send_contexts(buckets, length), MESSAGE)

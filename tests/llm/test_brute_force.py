@@ -97,10 +97,10 @@ def run_repeats(rows, blocks):
     """The phases without Spark, so that the bound for hot groups can be set."""
     import pyarrow as pa
 
-    from tessera.llm.blocks import messages
+    from tessera.llm.blocks import no_messages
 
-    dealt = {b: pa.table({"doc_id": pa.array([r[0] for i, r in enumerate(rows) if i % blocks == b], pa.int64()), "text": pa.array([r[1] for i, r in enumerate(rows) if i % blocks == b], pa.string())}) for b in range(blocks)}
-    gather = lambda tables, by: {k: t.filter(pa.compute.equal(t[by], k)) for t in [pa.concat_tables([*tables, messages([])])] for k in t[by].unique().to_pylist()}
+    dealt = {b: pa.table({"in_0": pa.array([r[0] for i, r in enumerate(rows) if i % blocks == b], pa.int64()), "doc_id": pa.array([r[0] for i, r in enumerate(rows) if i % blocks == b], pa.int64()), "text": pa.array([r[1] for i, r in enumerate(rows) if i % blocks == b], pa.string())}) for b in range(blocks)}
+    gather = lambda tables, by: {k: t.filter(pa.compute.equal(t[by], k)) for t in [pa.concat_tables([*tables, no_messages()])] for k in t[by].unique().to_pylist()}
     key = lambda k: (pa.scalar(k),)
     import pyarrow.compute  # noqa: F401
 
