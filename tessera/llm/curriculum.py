@@ -7,8 +7,8 @@ partial one), and inverting G at the middle of that place gives the training pos
 training order.
 
 Defined cases: a null or empty text has size 0, is taken 0 times and has an empty schedule; a null source is a source of its
-own, last in order; repeated rows each count; an empty table gives an empty result; input columns named as the added ones are
-replaced. The running sums are taken inside (source, hash bucket) groups plus offsets of the buckets, so a source that holds a
+own, last in order; repeated rows each count, those of one id by size; an empty table gives an empty result; input columns named as the
+added ones are replaced, all other names are kept apart; texts of any length are counted whole. The running sums are taken inside (source, hash bucket) groups plus offsets of the buckets, so a source that holds a
 third of all rows is spread over thousands of groups.
 """
 
@@ -45,48 +45,66 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), cap:
     )
 
 
+def demanded(t: Column, ramp: Column) -> Column:
+    """Which part of a source's target its weight schedule has demanded by time t: (1 - ramp) t + ramp t^2."""
+    return (F.lit(1.0) - ramp) * t + ramp * t * t
+
+
 def demand_inverse(u: Column, ramp: Column) -> Column:
     """t in [0, 1] with (1 - ramp) t + ramp t^2 = u, in the form that is stable for small ramps."""
     b = F.lit(1.0) - ramp
     return F.least(F.lit(1.0), F.lit(2.0) * u / (b + F.sqrt(b * b + F.lit(4.0) * ramp * u)))
 
 
-def curriculum(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ramps: tuple[float, ...] = (-0.6, 0.0, 0.6), cap: int = 3) -> DataFrame:
-    """docs with size, source_size, target, taken and schedule: an array of (pass, words, position), one for each copy taken."""
-    keyed = without_clashes(docs, ADDED).withColumns({
-        "k_null": F.col("source").isNull().cast("int"),
-        "k_source": F.coalesce(F.col("source").cast("string"), F.lit("")),
-        "k_hash": F.md5(id_text().cast("binary")),
-        "size": word_count(F.col("text"), SPACES),
-    }).withColumn("k_bucket", F.substring("k_hash", 1, BUCKET_HEX))
+def curriculum(
+    docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), ramps: tuple[float, ...] = (-0.6, 0.0, 0.6), cap: int = 3, size: Column | None = None
+) -> DataFrame:
+    """docs with size, source_size, target, taken and schedule: an array of (pass, words, position), one for each copy that is demanded before
+    training ends. size: the words of a row, counted in its text if not given."""
+    names = without_clashes(docs, ADDED).columns
+    # columns travel under numbers, so that no name of theirs can clash with one made here
+    inputs = [F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)]
+    keyed = docs.select(
+        *inputs, F.col("doc_id").alias("k_id"), F.col("source").isNull().cast("int").alias("k_null"), F.coalesce(F.col("source").cast("string"), F.lit("")).alias("k_source"),
+        F.md5(id_text().cast("binary")).alias("k_hash"), (word_count(F.col("text"), SPACES) if size is None else size).alias("size"),
+    ).withColumn("k_bucket", F.substring("k_hash", 1, BUCKET_HEX))
     buckets = keyed.groupBy("k_null", "k_source", "k_bucket").agg(F.sum("size").alias("bucket_size"))
     targets = source_targets(buckets.groupBy("k_null", "k_source").agg(F.sum("bucket_size").alias("s")), weights, cap)
     ahead = Window.partitionBy("k_null", "k_source").orderBy("k_bucket").rowsBetween(Window.unboundedPreceding, -1)
     offsets = buckets.withColumn("offset", F.coalesce(F.sum("bucket_size").over(ahead), F.lit(0))).drop("bucket_size").join(targets, ["k_null", "k_source"])
-    inside = Window.partitionBy("k_null", "k_source", "k_bucket").orderBy("k_hash", "doc_id", "size").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("k_null", "k_source", "k_bucket").orderBy("k_hash", "k_id", "size").rowsBetween(Window.unboundedPreceding, -1)
     placed = keyed.join(offsets, ["k_null", "k_source", "k_bucket"]).withColumn("k_start", F.coalesce(F.sum("size").over(inside), F.lit(0)) + F.col("offset"))
-    goal = F.floor("target").cast("long")
-    passes = F.when(F.col("s") > 0, F.floor(goal / F.col("s")).cast("long")).otherwise(F.lit(0).cast("long"))
-    # the quotient of two longs is rounded as a double; put a goal just below a multiple right
-    passes = passes - F.when(passes * F.col("s") > goal, 1).otherwise(0)
-    placed = placed.withColumns({"k_goal": goal, "k_passes": passes})
-    part = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("k_goal") - F.col("k_passes") * F.col("s") - F.col("k_start")))
     ramp = F.element_at(F.array(*[F.lit(float(x)) for x in ramps]), (F.col("rank") % len(ramps) + 1).cast("int"))
-    placed = placed.withColumns({"k_part": part, "k_ramp": ramp})
+    # the words that the source's schedule has demanded when training ends, and the last pass over the source that they reach
+    goal = F.floor(F.col("target") * demanded(F.lit(1.0), ramp)).cast("long")
+    placed = placed.withColumns({"k_goal": goal, "k_ramp": ramp})
+    placed = placed.withColumn("k_last", F.when(F.col("s") > 0, F.expr("k_goal div s")).otherwise(F.lit(0).cast("long")))
 
     def copy(j: Column) -> Column:
-        words = F.when(j < F.col("k_passes"), F.col("size")).otherwise(F.col("k_part"))
-        middle = (j * F.col("s") + F.col("k_start")).cast("double") + words / F.lit(2.0)
+        start = j * F.col("s") + F.col("k_start")
+        words = F.greatest(F.lit(0).cast("long"), F.least(F.col("size"), F.col("k_goal") - start))
+        middle = start.cast("double") + words / F.lit(2.0)
         return F.struct(j.cast("int").alias("pass"), words.alias("words"), demand_inverse(middle / F.col("k_goal"), F.col("k_ramp")).alias("position"))
 
-    copies = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k_passes")), copy), lambda x: x["words"] > 0)
+    copies = F.filter(F.transform(F.sequence(F.lit(0).cast("long"), F.col("k_last")), copy), lambda c: c["words"] > 0)
     out = placed.withColumn("schedule", copies).withColumn("source_size", F.col("s"))
-    out = out.withColumn("taken", F.aggregate("schedule", F.lit(0).cast("long"), lambda a, x: a + x["words"]))
-    return out.select(*[F.col(f"`{c}`") for c in without_clashes(docs, ADDED).columns], *ADDED)
+    out = out.withColumn("taken", F.aggregate("schedule", F.lit(0).cast("long"), lambda a, c: a + c["words"]))
+    return out.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)], *ADDED)
 
 
 def training_order(mixed: DataFrame) -> DataFrame:
     """One row for each copy taken, range-sorted by training position: columns of the documents, pass, words, position."""
-    kept = [F.col(f"`{c}`") for c in without_clashes(mixed, [*ADDED, "pass", "words", "position"]).columns]
-    copies = mixed.select(*kept, F.explode("schedule").alias("x")).select(*kept, "x.pass", "x.words", "x.position")
-    return copies.repartitionByRange("position", "doc_id").sortWithinPartitions("position", "doc_id", "pass")
+    names = without_clashes(mixed, [*ADDED, "pass", "words", "position"]).columns
+    copies = mixed.select(*[F.col(f"`{c}`").alias(f"in_{i}") for i, c in enumerate(names)], F.col("doc_id").alias("k_id"), F.explode("schedule").alias("copy"))
+    ordered = copies.select("*", "copy.position").repartitionByRange("position", "k_id").sortWithinPartitions("position", "k_id", "copy.pass")
+    return ordered.select(*[F.col(f"in_{i}").alias(c) for i, c in enumerate(names)], "copy.pass", "copy.words", "position")
+
+
+def digest(mixed: DataFrame) -> DataFrame:
+    """The columns of the contract, how often each document is taken and where its first and last copies stand, range-sorted by the first."""
+    place = lambda at: F.round(F.try_element_at("schedule", F.lit(at))["position"], 6)
+    rows = mixed.select(
+        "doc_id", "size", "source_size", "target", "taken", F.size("schedule").alias("copies"), place(1).alias("first_position"), place(-1).alias("last_position"),
+        F.try_element_at("schedule", F.lit(1))["position"].alias("k_position"),
+    )
+    return rows.repartitionByRange("k_position", "doc_id").sortWithinPartitions("k_position", "doc_id").drop("k_position")

@@ -6,7 +6,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import curriculum, decontaminate, html_text, license_scan, lm_score, quality, simhash, suffix_repeats, topk, toxicity
-from .common import crc_fold, table
+from ..sources.shared import materialize
+from .common import SPACES, crc_fold, table, word_count
 
 
 def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -21,7 +22,10 @@ def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return curriculum.curriculum(table(spark, sf_dir, "documents").select("doc_id", "text", "source")).select("doc_id", "size", "source_size", "target", "taken")
+    docs = table(spark, sf_dir, "documents")
+    # every text is read once; what the mix needs of it is narrow
+    sizes = materialize(docs.select("doc_id", "source", word_count(F.col("text"), SPACES).alias("words")))
+    return curriculum.digest(curriculum.curriculum(sizes, size=F.col("words")))
 
 
 def op4_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -73,13 +77,26 @@ w AS (SELECT *, [5, 2, 1][CAST(rank % 3 AS INTEGER) + 1] AS w, CAST(3 * s AS DOU
 l AS (SELECT *, CAST(sum(s) OVER () - coalesce(sum(3 * s) OVER b, 0) AS DOUBLE) / CAST(sum(w) OVER () - coalesce(sum(w) OVER b, 0) AS DOUBLE) AS level
       FROM w WINDOW b AS (ORDER BY full_at, rank ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
 c AS (SELECT (SELECT arg_min(level, (full_at, rank)) FROM l WHERE full_at >= level) AS chosen),
-t AS (SELECT k_null, k_source, s, CASE WHEN chosen IS NULL OR full_at < chosen THEN CAST(3 * s AS DOUBLE) ELSE chosen * w END AS target FROM l, c),
-p AS (SELECT d.*, s, target, CAST(floor(target) AS BIGINT) AS goal,
+t AS (SELECT k_null, k_source, s, rank, CASE WHEN chosen IS NULL OR full_at < chosen THEN CAST(3 * s AS DOUBLE) ELSE chosen * w END AS target FROM l, c),
+p AS (SELECT d.*, s, rank, target, CAST(floor(target) AS BIGINT) AS goal,
              CAST(coalesce(sum(size) OVER (PARTITION BY k_null, k_source ORDER BY h, doc_id, size ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS start
       FROM d JOIN t USING (k_null, k_source))
-SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, target,
-       CAST(CASE WHEN s = 0 THEN 0 ELSE (goal // s) * size + greatest(0, least(size, goal - (goal // s) * s - start)) END AS BIGINT) AS taken
-FROM p
+SELECT doc_id, CAST(size AS BIGINT) AS size, s AS source_size, target, CAST(passes * size + part AS BIGINT) AS taken, CAST(copies AS INTEGER) AS copies,
+       CASE WHEN copies > 0 THEN round(CASE WHEN ramp = 0 THEN u_first ELSE (2 * u_first) / ((1 - ramp) + sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * u_first)) END, 6) END AS first_position,
+       CASE WHEN copies > 0 THEN round(CASE WHEN ramp = 0 THEN u_last ELSE (2 * u_last) / ((1 - ramp) + sqrt((1 - ramp) * (1 - ramp) + 4 * ramp * u_last)) END, 6) END AS last_position
+FROM (SELECT *, (start + (CASE WHEN passes > 0 THEN size ELSE part END) / 2.0::DOUBLE) / goal AS u_first,
+             (CASE WHEN part > 0 THEN passes * s + start + part / 2.0::DOUBLE ELSE (passes - 1) * s + start + size / 2.0::DOUBLE END) / goal AS u_last,
+             CASE WHEN size > 0 THEN passes ELSE 0 END + CASE WHEN part > 0 THEN 1 ELSE 0 END AS copies
+      FROM (SELECT *, CASE WHEN s = 0 THEN 0 ELSE greatest(0, least(size, goal - passes * s - start)) END AS part
+            FROM (SELECT *, CASE WHEN s = 0 THEN 0 ELSE goal // s END AS passes, [-0.6::DOUBLE, 0, 0.6][CAST(rank % 3 AS INTEGER) + 1] AS ramp FROM p)))
+"""
+
+#: The pages of the driver have their text in one article element without furniture inside; blocks are parted by p and h1.
+PAGES_SQL = r"""
+WITH a AS (SELECT page_id, url, regexp_split_to_array(regexp_extract(coalesce(html, ''), '(?s)<article>(.*)</article>', 1), '</?(p|h1)>') AS parts FROM pages),
+b AS (SELECT page_id, url, list_transform(parts, lambda x: trim(regexp_replace(regexp_replace(replace(regexp_replace(replace(x, '<br>', ' '), '<[^>]*>', '', 'g'), '&quot;', '"'), '&amp;?', '&', 'g'), '\s+', ' ', 'g'))) AS parts FROM a),
+t AS (SELECT page_id, url, array_to_string(list_filter(parts, lambda x: x <> ''), chr(10)) AS text FROM b)
+SELECT page_id, url, text, CAST(length(text) AS BIGINT) AS n_chars FROM t
 """
 
 TOPK_SQL = """
@@ -144,4 +161,4 @@ g AS (SELECT r, sum(x) AS x FROM s GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_tokens, round(coalesce(x, 0), 4)::DOUBLE AS log_score, round(x / len(w), 6)::DOUBLE AS mean_log_score FROM t LEFT JOIN g USING (r)
 """
 
-ORACLE = {"op4_lm_score": LM_SQL, "op3_mix": MIX_SQL, "op7_repeats": REPEATS_SQL, "op6_licenses": license_scan.sql(), "op8_topk": TOPK_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
+ORACLE = {"op4_lm_score": LM_SQL, "op3_mix": MIX_SQL, "op7_repeats": REPEATS_SQL, "op6_licenses": license_scan.sql(), "op8_topk": TOPK_SQL, "op9_main_text": PAGES_SQL, "op10_decontaminate": DECONTAMINATE_SQL}
