@@ -56,6 +56,20 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
 
 
+def cut_counts(counts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
+    """Counts, most of them small, as two columns: a byte for each, and those from 255 on in full."""
+    large = counts >= 255
+    return cut(np.minimum(counts, 255).astype(np.uint8), ends), cut(counts[large].astype(np.int64), np.append(0, np.cumsum(large))[ends])
+
+
+def joined_counts(small: pa.ChunkedArray, large: pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
+    """(counts of all messages, how many each message has) from the two columns."""
+    bytes_, sizes = joined(small, np.dtype(np.uint8))
+    counts = bytes_.astype(np.int64)
+    counts[bytes_ == 255] = joined(large, np.dtype(np.int64))[0]
+    return counts, sizes
+
+
 def messages(bucket, block, kind: int = 0, a: pa.Array | None = None, b: pa.Array | None = None, c: pa.Array | None = None) -> pa.Table:
     """Messages as a table; bucket or block may be one number for all, columns that are not given are null."""
     n = len(bucket) if isinstance(bucket, np.ndarray) else len(block) if isinstance(block, np.ndarray) else 1

@@ -25,12 +25,12 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import BLOCK_BYTES, MESSAGE, blocked, counts, cut, joined, messages, narrow, no_messages, packed_keys, rows_of, unpacked_keys
+from .blocks import BLOCK_BYTES, MESSAGE, blocked, counts, cut, cut_counts, joined, joined_counts, messages, no_messages, packed_keys, rows_of, unpacked_keys
 from .common import ALNUM_TABLE
 
 KEY_BITS, SPARE_BITS = 48, 16
 MULTIPLIERS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9)]
-#: Kinds of messages: the number of tokens, or n-grams with the widths of their two columns.
+#: Kinds of messages: the number of tokens, or n-grams with the width of their steps.
 TOKENS, TYPES = -1, [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64)]
 
 
@@ -98,10 +98,8 @@ def _send(order: int, buckets: int, bits: int):
         keys, counts, _ = grams.distinct()
         block = group[0].as_py()
         bucket, ends, steps = packed_keys(keys, bits, buckets)
-        counts = narrow(counts)
-        kind = 4 * TYPES.index(steps.dtype) + TYPES.index(counts.dtype)
         tokens = messages(0, block, TOKENS, cut(np.array([grams.sizes.sum()], np.int64), np.array([1])))
-        return pa.concat_tables([tokens, messages(bucket, block, kind, cut(steps, ends), cut(counts, ends))])
+        return pa.concat_tables([tokens, messages(bucket, block, TYPES.index(steps.dtype), cut(steps, ends), *cut_counts(counts, ends))])
 
     return send
 
@@ -115,15 +113,15 @@ def _answer(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
             total = int(joined(mine["a"], np.dtype(np.int64))[0].sum())
             out.append(messages(here, mine["block"].to_numpy(), TOKENS, cut(np.full(len(mine), total), np.arange(1, len(mine) + 1))))
             continue
-        steps, n = joined(mine["a"], TYPES[kind // 4])
+        steps, n = joined(mine["a"], TYPES[kind])
         blocks.append(mine["block"].to_numpy())
         sizes.append(n)
         keys.append(unpacked_keys(steps, n))
-        counts.append(joined(mine["b"], TYPES[kind % 4])[0])
+        counts.append(joined_counts(mine["b"], mine["c"])[0])
     if keys:
         distinct, back = np.unique(np.concatenate(keys), return_inverse=True)
-        totals = narrow(np.bincount(back, np.concatenate(counts), len(distinct)).astype(np.int64)[back])
-        out.append(messages(here, np.concatenate(blocks), TYPES.index(totals.dtype), cut(totals, np.cumsum(np.concatenate(sizes)))))
+        totals = np.bincount(back, np.concatenate(counts), len(distinct)).astype(np.int64)[back]
+        out.append(messages(here, np.concatenate(blocks), 0, *cut_counts(totals, np.cumsum(np.concatenate(sizes)))))
     return pa.concat_tables(out)
 
 
@@ -132,9 +130,8 @@ def _totals(answers: pa.Table) -> tuple[int, np.ndarray]:
     kinds, buckets = answers["kind"].to_numpy(), answers["bucket"].to_numpy()
     tokens = joined(answers.filter(pa.array(kinds == TOKENS))["a"], np.dtype(np.int64))[0]
     order = np.flatnonzero(kinds != TOKENS)
-    order = order[np.argsort(buckets[order])]
-    parts = [np.frombuffer(x, TYPES[k]).astype(np.int64) for x, k in zip(answers["a"].take(pa.array(order)).to_pylist(), kinds[order].tolist(), strict=True)]
-    return int(tokens[0]) if len(tokens) else 0, np.concatenate([np.zeros(0, np.int64), *parts])
+    rows = answers.take(pa.array(order[np.argsort(buckets[order])]))
+    return int(tokens[0]) if len(tokens) else 0, joined_counts(rows["a"], rows["b"])[0]
 
 
 def _score(order: int, backoff: float, names: list[str], bits: int):

@@ -7,13 +7,17 @@ sorts them by Gray rank (neighbours in that order differ in few bits) and folds
 bits all its members share, as (mask, pattern), with the bits already stated by its parent left out. A search walks down from the top
 and adds up the differences on the stated bits; a node whose sum exceeds the distance is dropped with all it holds.
 
+A block value that many fingerprints share is split: its fingerprints are within the distance in the remaining bits, so those are cut into blocks again,
+and so on. No group grows past HOT but by bits that LEVELS rounds of splitting leave, and partitions are sized by the number of fingerprints.
+
 Inside a partition the links are reduced at once to (fingerprint, smallest fingerprint reached), so what leaves it is at most one
 row per fingerprint and block however dense a group of copies is. Components are then found among linked fingerprints by
 repeated minimum exchange in tables in the shared folder.
 
 Defined cases: null, empty and blank texts have fingerprint zero and link like any other; fewer words than a shingle make one
 shingle of them all; equal texts share a fingerprint; repeated rows each give a row; a null doc_id never becomes a component id
-unless all ids of the component are null.
+unless all ids of the component are null; texts of any length are read whole, in slices that bound memory; an empty table gives an empty result; input
+columns other than doc_id and text play no part.
 """
 
 from __future__ import annotations
@@ -33,6 +37,8 @@ BITS = 64
 SEED = 42
 FANOUT = 16
 CHUNK = 4096
+#: Fingerprints of a block value from which it is split, how often, and fingerprints in a partition.
+HOT, LEVELS, PART_ROWS = 1 << 15, 3, 1 << 17
 ONE = np.uint64(1)
 
 
@@ -51,7 +57,11 @@ def shingle_hashes(text: str | None, shingle: int) -> np.ndarray:
 
 
 def fingerprint(text: str | None, shingle: int = 3) -> int:
-    h = shingle_hashes(text, shingle)
+    return fingerprint_of(shingle_hashes(text, shingle))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
+    """The bits set in over half of the hashes; without any: zero."""
     n = len(h)
     if not n:
         return 0
@@ -150,15 +160,51 @@ def link_group(codes: np.ndarray, distance: int) -> np.ndarray:
     return root
 
 
+def parts_of(mask: int, n: int) -> list[int]:
+    """The bits of a mask in n runs of about equal size."""
+    bits = [b for b in range(BITS) if mask >> b & 1]
+    return [sum(1 << b for b in bits[len(bits) * i // n : len(bits) * (i + 1) // n]) for i in range(n)]
+
+
+def _signed(x: int) -> int:
+    return x - (1 << 64) if x >> 63 else x
+
+
+def grouped(fps: DataFrame, distance: int) -> tuple[DataFrame, int]:
+    """(rows (block, key, fp) in which all pairs within the distance share a block and key; their number)."""
+    blocks = distance + 1
+    paths = {(): (1 << 64) - 1}  # blocks taken so far -> bits left
+
+    def dealt(rows: DataFrame, level: int) -> DataFrame:
+        """rows (path, key, fp) -> for each block of the bits left: its path and the key that its value adds."""
+        taken = sorted(p for p in paths if len(p) == level)
+        masks = F.array(*[F.lit(_signed(m)) for p in taken for m in parts_of(paths[p], blocks)])
+        for p in taken:
+            for i, m in enumerate(parts_of(paths[p], blocks)):
+                paths[(*p, i)] = paths[p] & ~m
+        each = rows.withColumn("next", F.explode(F.array(*[F.lit(i) for i in range(blocks)]))).withColumn("path", F.col("path") * blocks + F.col("next"))
+        return each.select("path", F.xxhash64("key", "path", F.col("fp").bitwiseAND(F.element_at(masks, F.col("path") + 1))).alias("key"), "fp")
+
+    rows, whole, total = dealt(fps.select(F.lit(0).alias("path"), F.lit(0).cast("long").alias("key"), "fp"), 0), None, 0
+    for level in range(LEVELS):
+        first = F.floor(F.col("path") / blocks**level).cast("int").alias("block")
+        sizes = rows.groupBy("path", "key").agg(F.count("*").alias("n"))
+        hot = materialize(sizes.where(F.col("n") > HOT).select("path", "key")) if level + 1 < LEVELS else None
+        n = sizes.agg(F.sum("n")).first()[0] or 0
+        split = hot is not None and hot.limit(1).count()
+        kept = (rows.join(hot, ["path", "key"], "left_anti") if split else rows).select(first, "key", "fp")
+        whole, total = kept if whole is None else whole.union(kept), total + n
+        if not split:
+            break
+        rows = materialize(dealt(rows.join(hot, ["path", "key"], "left_semi"), level + 1))
+    return whole, total
+
+
 def links(fps: DataFrame, distance: int) -> DataFrame:
     """Distinct fingerprints `fp` -> edges (a, b) that connect the same sets as all pairs within the distance."""
     blocks = distance + 1
     bounds = [BITS * i // blocks for i in range(blocks + 1)]
-    value = F.lit(None).cast("long")
-    for i in range(blocks):
-        width = bounds[i + 1] - bounds[i]
-        value = F.when(F.col("block") == i, F.shiftrightunsigned("fp", BITS - bounds[i + 1]).bitwiseAND(F.lit((1 << width) - 1))).otherwise(value)
-    rows = fps.withColumn("block", F.explode(F.array(*[F.lit(i) for i in range(blocks)]))).withColumn("value", value)
+    rows, n = grouped(fps, distance)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         parts = [np.array([b.column(i).to_numpy(zero_copy_only=False) for i in range(2)]) for b in batches]
@@ -166,18 +212,19 @@ def links(fps: DataFrame, distance: int) -> DataFrame:
             return
         block, fp = np.concatenate(parts, axis=1)
         for k in range(blocks):
-            # one index over all groups of this block in the partition: the block leads, so groups part near the top
-            turned = np.unique(rotate(fp[block == k].view(np.uint64), bounds[k]))
+            # one index over all groups of this block in the partition: the block (counted from the lowest bit) leads, so groups part near the top
+            turn = BITS - bounds[k + 1]
+            turned = np.unique(rotate(fp[block == k].view(np.uint64), turn))
             if len(turned) < 2:
                 continue
             root = link_group(turned, distance)
             moved = np.flatnonzero(root != np.arange(len(root)))
-            back = (BITS - bounds[k]) % BITS
+            back = (BITS - turn) % BITS
             a, b = rotate(turned[moved], back), rotate(turned[root[moved]], back)
             yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(b.view(np.int64))], names=["a", "b"])
 
-    parts = sized_partitions(fps.sparkSession, 0, 1)
-    return rows.repartition(parts, "block", "value").select(F.col("block").cast("long"), "fp").mapInArrow(run, "a long, b long")
+    parts = sized_partitions(fps.sparkSession, n, PART_ROWS)
+    return rows.repartition(parts, "block", "key").select(F.col("block").cast("long"), "fp").mapInArrow(run, "a long, b long")
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -208,7 +255,7 @@ def components(edges: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3) -> DataFrame:
     """(doc_id, fp, component_id): one row per document with the smallest id it reaches over links of fingerprints."""
     marked = materialize(fingerprints(docs, shingle))
-    distinct = marked.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(distinct.select("fp"), distance))
     rooted = distinct.join(label, distinct.fp == label.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
     roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))

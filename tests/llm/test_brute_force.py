@@ -182,9 +182,10 @@ def test_many_shards_give_the_same(spark, monkeypatch):
     r = random.Random(5)
     text = lambda n: " ".join(r.choice("abcdefgh") for _ in range(n))
     docs = spark.createDataFrame([(i, text(300)) for i in range(20)], "doc_id long, text string")
-    bench = spark.createDataFrame([(i, text(9)) for i in range(30)] + [(99, "a b")], "item_id long, text string")
+    bench = spark.createDataFrame([(i, text(9)) for i in range(30)] + [(99, "a b"), (98, text(40))], "item_id long, text string")
     once = sorted(map(tuple, decontaminate.digest(decontaminate.scan(docs, bench, 4)).collect()))
-    monkeypatch.setattr(decontaminate, "SHARD_BYTES", 200)
+    monkeypatch.setattr(decontaminate, "SHARD_WORDS", 40)
+    monkeypatch.setattr(decontaminate, "PIECE", 3)
     assert sorted(map(tuple, decontaminate.digest(decontaminate.scan(docs, bench, 4)).collect())) == once
 
 
