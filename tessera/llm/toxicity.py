@@ -1,20 +1,28 @@
-"""Toxicity by compression distance: two zstandard dictionaries, one of ordinary and one of toxic text.
+"""Toxicity by compression distance: two zstandard dictionaries, trained separately on toxic and on ordinary text.
 
-Texts are brought to words of one byte a letter, each after a mark of two bytes. Training (on a bounded sample of labelled rows) distils what toxic text says
-that ordinary text does not: word beginnings of 4 or 5 letters whose rate over distinct three-word contexts is far higher in toxic rows (contexts, not
-occurrences, so that copies of one document count once). The ordinary dictionary holds frequent ordinary words; the toxic one holds the same and the toxic beginnings. A
-window that both describe equally well compresses to equal lengths; one with toxic words gets shorter under the toxic dictionary. Matches of under MATCH
-bytes don't count, so a match takes in the mark, and what only occurs inside words saves nothing. The bytes saved are compared with a
-threshold calibrated on the training rows, and a logistic curve over (largest saving, number of windows past the threshold, their share) gives the score.
+Texts are brought to words of one byte a letter, each after a mark of two bytes. Each dictionary is made of passages of real training text of its own class,
+chosen greedily as in the COVER algorithm: a passage scores by the strings of GRAM bytes in it (a string that a chosen passage holds scores no more), and the best passage of
+all comes first until nothing pays or the dictionary is full. What a string scores is the number of distinct contexts in which its class has it, weighted by how much more often (as a share of all contexts)
+it stands there than in the other class; strings that the other class has as often score below zero, so passages end where the text becomes common. Contexts are
+counted, not occurrences, so copies of one document count once (up to the folds). Behind the passages of its class each dictionary holds one background: the frequent words of all training text,
+which compresses common text alike. A passage may be a word, a part of one, or several words.
+
+A window that both dictionaries describe equally well compresses to equal lengths. Matches of under MATCH
+bytes don't count, so a match takes in the mark, and what only occurs inside words saves nothing. The bytes that the toxic dictionary saves over the ordinary one are compared with a
+threshold. Threshold and weights are calibrated on held-in folds: dictionaries trained on the other folds measure the rows of a fold, so no row is measured by what it has taught.
+A logistic curve over (largest saving, number of windows past the threshold, their share) gives the score.
 
 Documents are scored where they are read, whole, in windows of WINDOW bytes that overlap by OVERLAP; the model is a few kilobytes. Defined cases: null, empty
-and letterless texts save nothing and get the score of that; without labelled rows of both classes every score is 0.
+and letterless texts save nothing and get the score of that; without labelled rows of both classes every score is 0; very long texts are many windows; repeated rows each give a
+row; an empty table gives an empty result; an input column `toxic_score` is replaced, all other names stay.
 """
 
 from __future__ import annotations
 
 import codecs
+import heapq
 import math
+import zlib
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -30,12 +38,14 @@ from .common import column, labelled
 #: Bound of the training sample, in rows.
 TRAINING_ROWS = 4000
 WINDOW, OVERLAP = 56, 14
-BEGINNINGS = (4, 5)
-MATCH = 6
+MATCH = GRAM = 6
 MARK = b"\1\2"
-ORDINARY_WORDS = 300
-THRESHOLDS, RIDGE = range(1, 9), 0.05
-LEAST_CONTEXTS, LEAST_SHARE, LEAST_LOG_ODDS = 5, 2e-4, 3.0
+BACKGROUND_WORDS = 300
+THRESHOLDS, RIDGE, FOLDS = range(1, 9), 0.05, 3
+#: A string counts for a class from so many contexts and such a share of them, and from such a logarithm of the odds (ordinary, toxic).
+LEAST_CONTEXTS, LEAST_SHARE, LEAST_LOG_ODDS = 5, 2e-4, (3.0, 3.0)
+#: Bytes of passages in a dictionary (and strings that count), contexts tried for a string, and what a string without a score costs a passage.
+PASSAGES, TRIED, COST = 4096, 16, -1.0
 #: Known to both dictionaries and put after every window, so that zstandard never falls back to storing a window raw.
 ANCHOR = b"0123456789 ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 ABCDEF"
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 192 and c not in (215, 247) else 32 for c in range(256))
@@ -51,6 +61,7 @@ codecs.register_error("tessera_one_byte", _one_byte)
 
 @dataclass(frozen=True)
 class Model:
+    background: bytes
     ordinary: bytes
     toxic: bytes
     threshold: int
@@ -77,7 +88,7 @@ class Ruler:
     """Measures by how many bytes each window of a text gets shorter under the toxic dictionary."""
 
     def __init__(self, model: Model):
-        self.compressors = [self._compressor(x + ANCHOR) for x in (model.ordinary, model.toxic + model.ordinary)]
+        self.compressors = [self._compressor(x + model.background + ANCHOR) for x in (model.ordinary, model.toxic)]
 
     @staticmethod
     def _compressor(content: bytes) -> zstandard.ZstdCompressor:
@@ -97,51 +108,111 @@ class Ruler:
         return [len(plain(w)) - len(toxic(w)) for w in windows]
 
 
-def dictionaries(rows: list[tuple[str, int]]) -> tuple[bytes, bytes]:
-    """(ordinary, toxic) dictionary contents from (text, label) rows."""
-    words: tuple[Counter, Counter] = (Counter(), Counter())
-    for label in (0, 1):
-        seen: set[int] = set()
-        for text, is_toxic in rows:
-            if is_toxic == label:
-                w = words_of(text)
-                for context in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True):
-                    if (key := hash(context)) not in seen:
-                        seen.add(key)
-                        words[label][context[1]] += 1
-    totals = [sum(c.values()) for c in words]
-    counts: tuple[Counter, Counter] = (Counter(), Counter())
-    for label in (1, 0):
-        for word, n in words[label].items():
-            for k in BEGINNINGS:
-                if len(word) >= k and (label or word[:k] in counts[1]):
-                    counts[label][word[:k]] += n
-
-    def odds(part: bytes) -> float:
-        return math.log((counts[1][part] + 0.5) / (totals[1] + 1)) - math.log((counts[0][part] + 0.5) / (totals[0] + 1))
-
-    least = max(LEAST_CONTEXTS, LEAST_SHARE * totals[1])
-    telling = {part: n * odds(part) for part, n in counts[1].items() if n >= least and odds(part) > LEAST_LOG_ODDS}
-    chosen: Counter = Counter()
-    for word, n in words[1].items():
-        if mine := [word[:k] for k in BEGINNINGS if len(word) >= k and word[:k] in telling]:
-            chosen[max(mine, key=lambda part: (telling[part], len(part)))] += n
-    kept = sorted((part for part, n in chosen.items() if n >= least), key=lambda part: (chosen[part], part))
-    common = sorted(words[0].items(), key=lambda x: (-x[1], x[0]))[:ORDINARY_WORDS]
-    # a zero byte, which no text has, ends each entry, so that no match runs into the next word's mark
-    return b"".join(b"\0" + MARK + w for w, _ in reversed(common)) + b"\0", b"".join(b"\0" + MARK + part for part in kept)
+class Share:
+    """The distinct runs of three words in one fold of the texts of a class, and their strings of GRAM bytes as numbers."""
+
+    def __init__(self, texts: list[list[bytes]]):
+        self.runs = sorted({run for w in texts for run in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True)})
+        # a string belongs to the word in which it, or its mark, begins
+        bodies = [MARK + word + MARK + after[: GRAM - 3] for _, word, after in self.runs]
+        data = np.frombuffer(b"\0".join(bodies) + bytes(GRAM), np.uint8).astype(np.uint64)
+        n = len(data) - GRAM + 1
+        numbers, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+        for i in range(GRAM):
+            numbers |= data[i : i + n] << np.uint64(8 * i)
+            whole &= data[i : i + n] > 0
+        starts = np.cumsum([0, *(len(b) + 1 for b in bodies)])
+        at = np.flatnonzero(whole)
+        self.numbers, self.run = numbers[at], np.searchsorted(starts, at, "right") - 1
+        self.distinct, self.times = np.unique(self.numbers, return_counts=True)
+
+
+def counted(shares: list[Share]) -> tuple[np.ndarray, np.ndarray, int]:
+    """(strings, in how many contexts each stands, number of contexts) of some folds."""
+    strings, back = np.unique(np.concatenate([x.distinct for x in shares]), return_inverse=True)
+    return strings, np.bincount(back, np.concatenate([x.times for x in shares]), len(strings)), sum(len(x.runs) for x in shares) + 1
+
+
+def string_scores(own: list[Share], other: list[Share], least_odds: float) -> tuple[np.ndarray, np.ndarray]:
+    """(strings, scores) of the strings that tell a class from the other one; the best PASSAGES of them."""
+    strings, n, total = counted(own)
+    theirs, m, other_total = counted(other)
+    at = np.minimum(np.searchsorted(theirs, strings), max(0, len(theirs) - 1))
+    there = np.where(theirs[at] == strings, m[at], 0) if len(theirs) else np.zeros(len(strings))
+    odds = np.log((n + 0.5) / total) - np.log((there + 0.5) / other_total)
+    kept = np.flatnonzero((n >= max(LEAST_CONTEXTS, LEAST_SHARE * total)) & (odds > least_odds))
+    kept = kept[np.argsort(-n[kept] * odds[kept], kind="stable")[:PASSAGES]]
+    kept.sort()
+    return strings[kept], n[kept] * odds[kept]
+
+
+def passages(own: list[Share], other: list[Share], least_odds: float) -> bytes:
+    """The passages of a class, the best one last, where it is nearest to what is compressed."""
+    strings, scores = string_scores(own, other, least_odds)
+    value = dict(zip((int(x).to_bytes(GRAM, "little") for x in strings), scores.tolist(), strict=True))
+    grams = lambda p: [p[i : i + GRAM] for i in range(len(p) - GRAM + 1)]
+    found: set[bytes] = set()
+    for share in own:
+        hit = np.flatnonzero(np.isin(share.numbers, strings))
+        hit = hit[np.argsort(share.numbers[hit], kind="stable")]
+        numbers = share.numbers[hit]
+        place = np.arange(len(hit)) - np.searchsorted(numbers, numbers)
+        # of each string a number of contexts, cut to where the strings pay
+        for k in np.unique(share.run[hit[place < TRIED]]).tolist():
+            body = MARK + MARK.join(share.runs[k][1:])
+            best, run, begin, cut = 0.0, 0.0, 0, None
+            for i, gram in enumerate(grams(body)):
+                if run <= 0:
+                    run, begin = 0.0, i
+                run += value.get(gram, COST)
+                if run > best:
+                    best, cut = run, (begin, i)
+            if cut is not None:
+                found.add(body[cut[0] : cut[1] + GRAM])
+    worth = lambda p: sum(value.get(g, COST) for g in set(grams(p)))
+    heap = [(-worth(p), p) for p in found]
+    heapq.heapify(heap)
+    chosen: list[bytes] = []
+    size = 0
+    while heap and size < PASSAGES:
+        known, p = heapq.heappop(heap)
+        now = worth(p)
+        if now <= 0:
+            continue
+        if -known > now:  # others have taken its strings; look again later
+            heapq.heappush(heap, (-now, p))
+            continue
+        chosen.append(p)
+        size += len(p) + 1
+        value.update(dict.fromkeys(grams(p), 0.0))
+    # a zero byte, which no text has, ends each passage, so that no match runs into the next one
+    return b"".join(p + b"\0" for p in reversed(chosen))
+
+
+def dictionaries(ordinary: list[Share], toxic: list[Share]) -> tuple[bytes, bytes, bytes]:
+    """(background, ordinary, toxic) dictionary contents."""
+    words = Counter(word for share in ordinary for _, word, _ in share.runs)
+    common = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:BACKGROUND_WORDS]
+    background = b"".join(b"\0" + MARK + w for w, _ in reversed(common)) + b"\0"
+    return background, passages(ordinary, toxic, LEAST_LOG_ODDS[0]), passages(toxic, ordinary, LEAST_LOG_ODDS[1])
 
 
 def train(rows: list[tuple[str, int]]) -> Model:
     labels = np.array([y for _, y in rows])
     if not rows or labels.min() == labels.max():
-        return Model(b"", b"", 1, None)
-    ordinary, toxic = dictionaries(rows)
-    ruler = Ruler(Model(ordinary, toxic, 1, None))
-    savings = [ruler.savings(text) for text, _ in rows]
+        return Model(b"", b"", b"", 1, None)
+    # folds by the text, so that copies of a text share one
+    fold = np.array([zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS for text, _ in rows])
+    words = [words_of(text) for text, _ in rows]
+    shares = [[Share([words[i] for i in np.flatnonzero((fold == k) & (labels == y))]) for k in range(FOLDS)] for y in (0, 1)]
+    savings: list[list[int]] = [[0]] * len(rows)
+    for k in range(FOLDS):
+        ruler = Ruler(Model(*dictionaries(*([x for j, x in enumerate(mine) if j != k] for mine in shares)), 1, None))
+        for i in np.flatnonzero(fold == k):
+            savings[i] = ruler.savings(rows[i][0])
     fits = [(*_logistic(np.array([measures(s, t) for s in savings]), labels), t) for t in THRESHOLDS]
     _, weights, threshold = max(fits, key=lambda f: (f[0], -f[2]))
-    return Model(ordinary, toxic, threshold, weights)
+    return Model(*dictionaries(*shares), threshold, weights)
 
 
 def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, tuple[float, ...]]:
