@@ -1,13 +1,12 @@
 """License scan by ordered signature rules, in DataFrame functions alone.
 
 A text is brought to words in lower case, each between two blanks, so that a rule is a plain regular expression over whole words and a place is a count of blanks.
-Rules are written as word patterns: a small table of licenses (spellings, keyword, label) times a table of phrasings
-(priority, confidence). A rule is tried only where its keyword occurs, and texts without any trigger word skip the rules
-altogether. A detection is dropped when its interval lies inside that of a detection that goes before it: higher priority, then longer,
+The rules (`license_rules`) are written by hand as word patterns, each with label, keyword and priority: identifiers, texts of licenses, notices,
+grants, names and mentions. A rule is tried only where its keyword occurs, and texts without any keyword skip the rules altogether. A detection is dropped when its interval lies inside that of a detection that goes before it: higher priority, then longer,
 then earlier rule. The base phrases are counted on their own and are never dropped.
 
 Defined cases: null and empty texts have no words, no places and score 0; an empty table gives an empty result; input columns other than
-doc_id and text play no part; repeated rows each give a row.
+doc_id and text play no part but stay in `detections`; repeated rows each give a row; places of one label may touch; texts of any length are scanned whole.
 """
 
 from __future__ import annotations
@@ -16,68 +15,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .common import ALNUM_WORD, SEPARATORS, UPPER
+from .license_rules import CONFIDENCE, RULES
 
 #: Phrases and labels of the contract.
 BASE = [("under the mit license", "mit"), ("apache license version 2", "apache-2"), ("cc by nc", "cc-by-nc")]
 BASE_CONFIDENCE = 0.9
-#: label, keyword, spellings as word patterns (see `pattern`), words of the short identifier
-LICENSES = [
-    ("mit", "mit", ["mit", "mit x11"], "mit"),
-    ("apache-2", "apache", ["apache 2 0?", "apache licen[cs]e 2 0?", "apache licen[cs]e version 2 0?"], "apache 2 0"),
-    ("apache-1.1", "apache", ["apache 1 1", "apache software licen[cs]e version? 1 1"], "apache 1 1"),
-    ("gpl-3", "general|gpl|gplv3", ["gnu? gpl v?3|version:3", "gnu? general public licen[cs]e v3|version:3", "gplv3"], "gpl 3 0"),
-    ("gpl-2", "general|gpl|gplv2", ["gnu? gpl v?2|version:2", "gnu? general public licen[cs]e v2|version:2", "gplv2"], "gpl 2 0"),
-    ("lgpl-3", "lesser|lgpl", ["gnu? lgpl v?3|version:3", "gnu? lesser general public licen[cs]e v3|version:3"], "lgpl 3 0"),
-    ("lgpl-2.1", "lesser|lgpl", ["gnu? lgpl v?2|version:2 1", "gnu? lesser general public licen[cs]e v2|version:2 1"], "lgpl 2 1"),
-    ("agpl-3", "affero|agpl", ["gnu? agpl v?3|version:3", "gnu? affero general public licen[cs]e v3|version:3"], "agpl 3 0"),
-    ("bsd-2-clause", "bsd|freebsd", ["bsd 2 clause", "simplified bsd", "freebsd"], "bsd 2 clause"),
-    ("bsd-3-clause", "bsd", ["bsd 3 clause", "new bsd", "modified bsd", "revised bsd"], "bsd 3 clause"),
-    ("bsd-4-clause", "bsd", ["bsd 4 clause", "original bsd"], "bsd 4 clause"),
-    ("mpl-2", "mozilla|mpl", ["mpl 2 0?", "mozilla public licen[cs]e version? 2 0?"], "mpl 2 0"),
-    ("mpl-1.1", "mozilla|mpl", ["mpl 1 1", "mozilla public licen[cs]e version? 1 1"], "mpl 1 1"),
-    ("epl-2", "eclipse|epl", ["epl 2 0?", "eclipse public licen[cs]e version? 2 0?"], "epl 2 0"),
-    ("epl-1", "eclipse|epl", ["epl 1 0?", "eclipse public licen[cs]e version? 1 0?"], "epl 1 0"),
-    ("cddl-1", "cddl|distribution", ["cddl 1? 0?", "common development and distribution licen[cs]e"], "cddl 1 0"),
-    ("isc", "isc", ["isc"], "isc"),
-    ("zlib", "zlib", ["zlib", "zlib libpng"], "zlib"),
-    ("boost-1", "boost", ["boost software licen[cs]e version? 1? 0?", "boost"], "bsl 1 0"),
-    ("unlicense", "unlicense", ["unlicense"], "unlicense"),
-    ("wtfpl", "wtfpl", ["wtfpl"], "wtfpl"),
-    ("artistic-2", "artistic", ["artistic licen[cs]e 2 0?", "artistic 2 0?"], "artistic 2 0"),
-    ("python-2", "psf|python", ["psf", "python software foundation"], "python 2 0"),
-    ("postgresql", "postgresql", ["postgresql"], "postgresql"),
-    ("openssl", "openssl", ["openssl"], "openssl"),
-    ("eupl-1.2", "eupl|european", ["eupl 1? 2?", "european union public licen[cs]e"], "eupl 1 2"),
-    ("ofl-1.1", "ofl|sil", ["sil open font licen[cs]e", "ofl 1? 1?"], "ofl 1 1"),
-    ("gfdl", "gfdl|documentation", ["gfdl", "gnu free documentation licen[cs]e"], "gfdl 1 3"),
-    ("cc0", "cc0|creative", ["cc0 1? 0?", "creative commons zero"], "cc0 1 0"),
-    ("cc-by", "creative|cc", ["cc by 4|3|2 0|5", "creative commons attribution 4|3|2 0|5"], "cc by 4 0"),
-    ("cc-by-sa", "creative|cc", ["cc by sa", "creative commons attribution share alike", "creative commons attribution sharealike"], "cc by sa 4 0"),
-    ("cc-by-nd", "creative|cc", ["cc by nd", "creative commons attribution no derivatives", "creative commons attribution noderivatives"], "cc by nd 4 0"),
-    ("cc-by-nc", "creative|cc", ["cc by nc", "creative commons attribution non commercial", "creative commons attribution noncommercial"], "cc by nc 4 0"),
-    ("cc-by-nc-sa", "creative|cc", ["cc by nc sa", "creative commons attribution noncommercial sharealike"], "cc by nc sa 4 0"),
-    ("cc-by-nc-nd", "creative|cc", ["cc by nc nd", "creative commons attribution noncommercial noderivatives"], "cc by nc nd 4 0"),
-    ("odbl-1", "odbl|database", ["odbl", "open database licen[cs]e"], "odbl 1 0"),
-    ("public-domain", "domain", ["public domain"], "public domain"),
-    ("proprietary", "rights", ["all rights reserved"], "proprietary"),
-]
-#: name, priority, confidence, phrasing: {} stands for a spelling
-PHRASINGS = [
-    ("licensed", 80, 0.95, "licen[cs]ed under the? terms? of? the? {} licen[cs]e?"),
-    ("released", 70, 0.9, "released|distributed|available|published|provided|offered under the? terms? of? the? {} licen[cs]e?"),
-    ("subject", 60, 0.8, "subject|according to the? terms? of? the? {} licen[cs]e?"),
-    ("named", 40, 0.7, "{} licen[cs]e"),
-    ("mention", 20, 0.4, "{}"),
-]
-IDENTIFIER = ("spdx", 100, 1.0, "spdx licen[cs]e identifier {}")
-#: Licenses whose bare spelling is an ordinary word or name: no rule for the mention alone.
-NO_MENTION = {"mit", "boost-1", "python-2", "postgresql", "openssl", "isc", "zlib"}
-#: The name of this license is a common word of German: all its phrasings name the word license too.
-NAMED_IN_FULL = {"mit"}
-#: Every text that a rule or base phrase can match holds one of these words.
-TRIGGERS = sorted({k for _, keys, _, _ in LICENSES for k in keys.split("|") if k != "mit"} | {"spdx", "license", "licence", "licensed", "licenced"})
-
-
 def pattern(words: str) -> str:
     """A word pattern as a regular expression: words part at blanks, `?` makes a word optional, `|` parts alternatives, `a:b` stands for two words."""
     out = ""
@@ -90,19 +32,18 @@ def pattern(words: str) -> str:
 
 
 def rules() -> list[tuple[int, str, str, str, int, float]]:
-    """(rule number, label, keyword, regular expression, priority, confidence), one row for each keyword's part of a rule."""
+    """(rule number, label, keyword as a spaced word, regular expression, priority, confidence)."""
     out = []
-    for label, keys, spellings, short in LICENSES:
-        phrasings = [(p, c, phrase.replace("licen[cs]e?", "licen[cs]e") if label in NAMED_IN_FULL else phrase) for _, p, c, phrase in PHRASINGS]
-        forms = [(p, c, phrase, s) for p, c, phrase in phrasings for s in spellings if not (phrase == "{}" and label in NO_MENTION)]
-        forms.append((IDENTIFIER[1], IDENTIFIER[2], IDENTIFIER[3], short))
-        for priority, confidence, phrase, spelling in forms:
-            expression = pattern(phrase.replace("{}", spelling))
-            known = [k for k in keys.split("|") if k in spelling.split()] or (["spdx"] if phrase == IDENTIFIER[3] else keys.split("|")[:1])
-            out.append((len(out), label, f" {known[0]} ", expression, priority, confidence))
+    for line in RULES:
+        priority, label, keyword, words = line.split(" ", 3)
+        out.append((len(out), label, f" {keyword} ", pattern(words), int(priority), CONFIDENCE[int(priority)]))
     return out
 
 
+#: Every text that a rule or base phrase can match holds one of these words.
+TRIGGERS = sorted({line.split(" ", 3)[2] for line in RULES} | {"license", "apache", "cc"})
+
+
 def words_of(text: Column) -> Column:
     """The words of the text in lower case (A-Z only); null: none."""
     return F.coalesce(F.array_remove(F.split(F.translate(text, UPPER, UPPER.lower()), SEPARATORS), ""), F.array().cast("array<string>"))
@@ -197,16 +138,19 @@ def sql() -> str:
     """DuckDB SQL for digest(detections(documents)) with the same rules; its regular expressions are those of Spark."""
     quoted = lambda x: "'" + x.replace("'", "''") + "'"
     values = ", ".join(f"({n}, {quoted(label)}, {quoted(key)}, {quoted(e)}, {p}, {c:g})" for n, label, key, e, p, c in rules())
-    base = ", ".join(f"({quoted(label)}, {quoted(pattern(phrase))})" for phrase, label in BASE)
+    # the base places on their own, word by word, without the rules' expressions
+    base = " UNION ALL ".join(
+        f"SELECT r, {quoted(label)} AS label, i - 1 AS first FROM u WHERE {' AND '.join(f'w[i + {k}] = {quoted(word)}' for k, word in enumerate(phrase.split()))}" for phrase, label in BASE
+    )
     places = """SELECT {keys}, CAST(g AS INTEGER) + CAST(coalesce(sum(g2 + w) OVER (PARTITION BY {part} ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS INTEGER) AS first, w AS words
       FROM (SELECT *, (length(p[i]) - length(replace(p[i], ' ', ''))) // 2 AS g, (length(p[i]) - length(replace(p[i], ' ', ''))) // 2 AS g2, (length(m[i]) - length(replace(m[i], ' ', ''))) // 2 AS w
         FROM (SELECT *, unnest(range(1, len(m) + 1)) AS i FROM (SELECT *, regexp_extract_all(norm, e) AS m, string_split_regex(norm, e) AS p FROM {source})))"""
     return rf"""
 WITH d AS (SELECT row_number() OVER () AS r, doc_id, translate(coalesce(text, ''), '{UPPER}', '{UPPER.lower()}') AS t FROM documents),
-n AS (SELECT r, doc_id, len(regexp_extract_all(t, '{ALNUM_WORD}')) AS n_words, ' ' || trim(regexp_replace(t, '{SEPARATORS}', '  ', 'g'), ' ') || ' ' AS norm FROM d),
+n AS (SELECT r, doc_id, regexp_extract_all(t, '{ALNUM_WORD}') AS w, len(regexp_extract_all(t, '{ALNUM_WORD}')) AS n_words, ' ' || trim(regexp_replace(t, '{SEPARATORS}', '  ', 'g'), ' ') || ' ' AS norm FROM d),
 rules(rule, label, key, e, priority, confidence) AS (VALUES {values}),
-base(label, e) AS (VALUES {base}),
-bp AS ({places.format(keys="r, label", part="r, label", source="(SELECT r, norm, label, e FROM n, base WHERE regexp_matches(norm, e))")}),
+u AS (SELECT r, w, unnest(range(1, len(w) + 1)) AS i FROM n),
+bp AS ({base}),
 h AS ({places.format(keys="r, label, priority, confidence, rule", part="r, rule", source="(SELECT r, norm, rules.* FROM n JOIN rules ON contains(norm, key) WHERE regexp_matches(norm, e))")}),
 f AS (SELECT * FROM h AS d WHERE NOT EXISTS (SELECT 1 FROM h AS e WHERE e.r = d.r AND e.first <= d.first AND e.first + e.words >= d.first + d.words
       AND (e.priority > d.priority OR e.priority = d.priority AND (e.words > d.words OR e.words = d.words AND e.rule < d.rule)))),
