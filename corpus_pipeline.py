@@ -34,18 +34,26 @@ def restored(found: DataFrame, docs: Docs, **made) -> Docs:
 
 
 def drop_toxic(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Without the documents that the toxicity model rejects. Null and empty texts stay; without labelled rows of both classes all stay; an empty table stays empty."""
     model = toxicity.fit(docs, table(spark, sf_dir, "labels"), folds=5, held_out=0)
     return restored(toxicity.scored(carried(docs), model).where(F.col("toxic_score") < 0.5), docs)
 
 
 def one_of_each_group(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """The document with the smallest id of each group of near copies (null ids only where a group has no other). Null and blank texts are one group. Of rows with one id the first by text and then by all columns as text stays."""
     found = materialize(near_copies.near_copies(docs, shingle=5, least=(4, 5)))
     winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("winner")).agg(F.count("*").alias("times"))
     kept = docs.join(winners, docs.doc_id.eqNullSafe(winners.winner), "left_semi")
-    return kept.dropDuplicates(["doc_id", "text"]) if winners.where("times > 1").limit(1).count() else kept
+    if not winners.where("times > 1").limit(1).count():
+        return kept
+    # rows of one id: the first one in an order that does not depend on partitions
+    whole = F.to_json(F.struct(*[F.col(f"`{c}`") for c in kept.columns]), {"ignoreNullFields": "false"})
+    first = kept.select(F.struct(*[F.col(f"`{c}`") for c in kept.columns]).alias("row_"), "doc_id", F.struct("text", whole).alias("order_")).groupBy("doc_id").agg(F.min_by("row_", "order_").alias("row_"))
+    return first.select(*[F.col("row_").getField(c).alias(c) for c in docs.columns])
 
 
 def cut_repeats(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Texts without the passages of 50 bytes and more that a document with a smaller id holds; documents that lose all their text go, rows of one id do not count against each other. Null and short texts stay as they are."""
     cut = suffix_repeats.without_repeats(carried(docs), length=50, with_text=True)
     changed = F.size("spans") > 0
     left = cut.where(~changed | (F.trim("kept_text") != ""))
@@ -53,10 +61,12 @@ def cut_repeats(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
 
 
 def drop_contaminated(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """Without the documents that hold a window of any benchmark item. Null and empty texts stay; an empty benchmark drops nothing."""
     return restored(decontaminate.scan(carried(docs), table(spark, sf_dir, "benchmark"), window=8).where(F.size("hit_items") == 0), docs)
 
 
 def mix(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
+    """One row for each copy that the curriculum takes, in training order, with pass, words and position; columns of these names are replaced. Documents without words are not taken; an empty table stays empty."""
     return curriculum.training_order(curriculum.curriculum(docs))
 
 

@@ -5,6 +5,7 @@ import random
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings
@@ -93,10 +94,8 @@ def test_repeats(spark, monkeypatch, seed):
     assert Counter(got) == Counter(want), hot
 
 
-def run_repeats(rows, blocks):
+def run_repeats(rows, blocks, length=50):
     """The phases without Spark, so that the bound for hot groups can be set."""
-    import pyarrow as pa
-
     from tessera.llm.blocks import no_messages
 
     dealt = {b: pa.table({"in_0": pa.array([r[0] for i, r in enumerate(rows) if i % blocks == b], pa.int64()), "doc_id": pa.array([r[0] for i, r in enumerate(rows) if i % blocks == b], pa.int64()), "text": pa.array([r[1] for i, r in enumerate(rows) if i % blocks == b], pa.string())}) for b in range(blocks)}
@@ -104,14 +103,15 @@ def run_repeats(rows, blocks):
     key = lambda k: (pa.scalar(k),)
     import pyarrow.compute  # noqa: F401
 
-    codes = [suffix_repeats._answer_keys(key(k), t) for k, t in gather([suffix_repeats._send_keys(blocks, 50)(key(b), t) for b, t in dealt.items()], "bucket").items()]
+    codes = [suffix_repeats._answer_keys(key(k), t) for k, t in gather([suffix_repeats._send_keys(blocks, length)(key(b), t) for b, t in dealt.items()], "bucket").items()]
+    none = no_messages()
     by_block = gather(codes, "block")
-    sent = [suffix_repeats._send_contexts(blocks, 50)(key(b), t, by_block[b]) for b, t in dealt.items()]
-    answers = [suffix_repeats._answer_contexts(50)(key(k), t) for k, t in gather(sent, "bucket").items()]
+    sent = [suffix_repeats._send_contexts(blocks, length)(key(b), t, by_block.get(b, none)) for b, t in dealt.items()]
+    answers = [suffix_repeats._answer_contexts(length)(key(k), t) for k, t in gather(sent, "bucket").items()]
     by_block = gather([*codes, *answers], "block")
     out = []
     for b, t in dealt.items():
-        for r in suffix_repeats._cut(blocks, 50, ["doc_id"], False)(key(b), t, by_block[b]).to_pylist():
+        for r in suffix_repeats._cut(blocks, length, ["doc_id"], False)(key(b), t, by_block.get(b, none)).to_pylist():
             out.append((r["doc_id"], r["n_bytes"], sum(s["end"] - s["first"] for s in r["spans"]), len(r["spans"]), r["kept_sha256"]))
     return out
 
@@ -141,6 +141,88 @@ def test_cutting_keeps_letters_whole():
     assert suffix_repeats.kept(text, [(1, 7)], True).decode() == "ab"
 
 
+@pytest.mark.parametrize("length", [1, 7, 20, 128, 200, 300])
+def test_repeats_of_any_length(length):
+    rows = passages(4, 40) + [(90, "abc" * 250), (91, "abc" * 240 + "d"), (92, "q" + "abc" * 200)]
+    got = run_repeats(rows, 2, length)
+    assert Counter(got) == Counter((i, *x) for (i, _), x in zip(rows, suffix_repeats.reference(rows, length), strict=True))
+
+
+def test_lengths_that_are_refused(spark):
+    for length in (0, suffix_repeats.LONGEST + 1):
+        with pytest.raises(ValueError):
+            suffix_repeats.without_repeats(spark.createDataFrame([(1, "a")], "doc_id long, text string"), length)
+
+
+def test_hot_block_values_are_split(spark, monkeypatch):
+    r = random.Random(2)
+    base = r.getrandbits(64)
+    fps = {base ^ (r.getrandbits(13) << 3) for _ in range(300)} | {r.getrandbits(64) for _ in range(50)}
+    monkeypatch.setattr(simhash, "HOT", 20)
+    signed = [f - (1 << 64) if f >> 63 else f for f in fps]
+    rows, _ = simhash.grouped(spark.createDataFrame([(f,) for f in signed], "fp long"), 2)
+    assert rows.count() > 3 * len(fps)
+    label = {x.node: x.label for x in simhash.components(simhash.links(spark.createDataFrame([(f,) for f in signed], "fp long"), 2)).collect()}
+    near = {(a, b) for a in fps for b in fps if a < b and (a ^ b).bit_count() <= 2}
+    s = lambda f: f - (1 << 64) if f >> 63 else f
+    of = lambda f: label.get(s(f), s(f))  # noqa: E731  the centre of a star has no row of its own
+    assert len(near) > 20 and all(of(a) == of(b) for a, b in near)
+    root = {f: f for f in fps}
+
+    def find(f):
+        while root[f] != f:
+            f = root[f]
+        return f
+
+    for a, b in near:
+        root[find(a)] = find(b)
+    assert len({of(f) for f in fps}) == len({find(f) for f in fps})
+
+
+def test_simhash_end_to_end(spark):
+    """Ids, hexadecimal digits and components of the query against a plain version, with a null id, nulls and repeated rows."""
+    r = random.Random(8)
+    words = [" ".join(r.choice("abcdefgh") for _ in range(60)) for _ in range(12)]
+    docs = [(i, words[i % 12]) for i in range(30)] + [(40, words[0] + " x"), (41, None), (42, ""), (42, ""), (None, words[3]), (50, "lone text of its own")]
+    got = simhash.digest(simhash.near_duplicates(spark.createDataFrame(docs, "doc_id long, text string"))).collect()
+    fps = [plain_fingerprint(t) for _, t in docs]
+    root = list(range(len(docs)))
+    for _ in docs:
+        for i in range(len(docs)):
+            for j in range(i):
+                if (fps[i] ^ fps[j]).bit_count() <= 2:
+                    root[i] = root[j] = min(root[i], root[j])
+    want = [(i, f"{fp:016x}", min(d for (d, _), x in zip(docs, root, strict=True) if x == k and d is not None)) for (i, _), fp, k in zip(docs, fps, root, strict=True)]
+    assert Counter(map(tuple, got)) == Counter(want)
+
+
+def test_messages_grow_with_the_keys():
+    """A block never sends more messages than it has keys, however many buckets there are."""
+    from tessera.llm import lm_score
+
+    docs = pa.table({"doc_id": pa.array([1], pa.int64()), "text": pa.array([" ".join(f"w{i}" for i in range(500))])})
+    sent = {buckets: lm_score._send(3, buckets, 60)((pa.scalar(0),), docs).num_rows - 1 for buckets in (10, 1000, 10**6, 10**8)}
+    assert sent[10] == 10 and sent[10**6] <= sent[10**8] <= 500 + 499 + 498
+
+
+def test_top_k_beyond_every_bound(spark):
+    r = random.Random(9)
+    cases = [
+        [(i, [1e9 + i % 7, 0.5]) for i in range(45)],
+        [(i, [r.choice([1.0, 3e8, -2e8, 1e15, -1e18, 1e30, 7.0]), r.uniform(-1, 1), 3e12 * r.random()]) for i in range(90)],
+        [(i, [r.choice([1e200, -1e200, 3e200, 1.0]), r.uniform(-1e5, 1e5)]) for i in range(60)],
+    ]
+    for rows in cases:
+        whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
+        want = []
+        for i, v in whole:
+            if i % 20 == 0:
+                scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for j, w in whole if i != j)
+                want += [(i, n + 1, j, max(-(2**63), min(2**63 - 1, -s))) for n, (s, j) in enumerate(scores[:20])]
+        got = sorted(tuple(x) for x in topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect())
+        assert got == sorted(want)
+
+
 @pytest.mark.parametrize("seed", range(2))
 def test_top_k(spark, seed):
     r = random.Random(seed)
@@ -152,7 +234,7 @@ def test_top_k(spark, seed):
     whole = [(i, [math.floor(64 * x) for x in v]) for i, v in rows]
     for a, (i, v) in enumerate(whole):
         if i % 20 == 0:
-            scores = sorted((-max(-topk.TOP, min(topk.TOP, sum(x * y for x, y in zip(v, w, strict=True)))), j) for b, (j, w) in enumerate(whole) if a != b and len(v) == len(w))
+            scores = sorted((-sum(x * y for x, y in zip(v, w, strict=True)), j) for b, (j, w) in enumerate(whole) if a != b and len(v) == len(w))
             want += [(i, n + 1, j, -s) for n, (s, j) in enumerate(scores[:20])]
     assert got == sorted(want)
 

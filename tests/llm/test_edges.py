@@ -9,7 +9,7 @@ import corpus_pipeline
 from tessera.llm import queries
 
 WORDS = "the of and horse alpha beta gamma delta stone river idiot license mit under apache version".split()
-CLASHES = ["score", "size", "taken", "block", "spans", "hit_items", "toxic_score", "quality_score", "fp", "component_id", "target", "schedule", "kept_text", "found", "base", "row", "label", "position", "n_words"]
+CLASHES = ["score", "size", "taken", "block", "spans", "hit_items", "toxic_score", "quality_score", "fp", "component_id", "target", "schedule", "kept_text", "found", "base", "row", "label", "position", "n_words", "s", "rank", "offset", "x", "k_source", "k_id", "in_0", "copy", "pass", "block_", "w", "item", "row_"]
 
 
 def sentence(r: random.Random, n: int) -> str:
@@ -41,6 +41,31 @@ def odd(spark, tmp_path_factory):
     return folders
 
 
+def check_values(name, out):
+    """What null, empty, tied and repeated rows get."""
+    of = lambda i: [r for r in out if r.doc_id == i]
+    bare = [*of(30), *of(31), *of(32)]
+    assert len(bare) == 3 and len(of(37)) == 2 and of(37)[0] == of(37)[1] or name == "op3_mix"
+    if name in ("op1_toxicity", "op5_quality"):
+        assert len({r.score for r in bare}) == 1 and all(0 <= r.score <= 1 and r.predicted == int(r.score >= 0.5) for r in out)
+        assert len({r.score for i in (35, 36, 37) for r in of(i)}) == 1
+    elif name == "op2_simhash":
+        assert {(r.fingerprint, r.component_id) for r in bare} == {("0" * 16, 30)}
+        assert {r.component_id for i in (35, 36, 37, None) for r in of(i)} == {35} and of(41)[0].component_id == 40
+    elif name == "op3_mix":
+        assert all(r.size == r.taken == r.copies == 0 and r.first_position is None for r in bare) and all(r.taken <= 3 * r.size for r in out)
+    elif name == "op4_lm_score":
+        assert all((r.n_tokens, r.log_score, r.mean_log_score) == (0, 0.0, None) for r in bare)
+    elif name == "op6_licenses":
+        assert all((r.n_words, r.n_base, r.first_word, r.last_word, r.base_labels, r.labels, r.score) == (0, 0, None, None, "", "", 0.0) for r in bare)
+    elif name == "op7_repeats":
+        assert of(30)[0].n_bytes == of(31)[0].n_bytes == 0 and all(r.n_removed == r.n_spans == 0 for r in bare)
+        assert of(35)[0].n_removed == 0 and all(r.n_removed == r.n_bytes for i in (36, 37, None) for r in of(i))
+    elif name == "op10_decontaminate":
+        assert all((r.n_words, r.n_hit, r.n_items, r.contaminated) == (0, 0, 0, False) for r in bare)
+        assert of(0)[0].n_items == 2 and of(0)[0].contaminated and of(40)[0].n_items == 1 and not of(40)[0].contaminated
+
+
 @pytest.mark.parametrize("name", list(queries.QUERIES))
 def test_every_row_has_a_result(spark, odd, name):
     out = queries.QUERIES[name](spark, odd[0]).collect()
@@ -50,6 +75,7 @@ def test_every_row_has_a_result(spark, odd, name):
         assert sorted(r.page_id for r in out) == [0, 1, 2, 3, 3]
     else:
         assert len(out) == 38
+        check_values(name, out)
     assert queries.QUERIES[name](spark, odd[1]).count() == 0
 
 
