@@ -112,25 +112,35 @@ class Share:
     """The distinct runs of three words in one fold of the texts of a class, and their strings of GRAM bytes as numbers."""
 
     def __init__(self, texts: list[list[bytes]]):
-        self.runs = sorted({run for w in texts for run in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True)})
-        # a string belongs to the word in which it, or its mark, begins
-        bodies = [MARK + word + MARK + after[: GRAM - 3] for _, word, after in self.runs]
-        data = np.frombuffer(b"\0".join(bodies) + bytes(GRAM), np.uint8).astype(np.uint64)
+        runs = sorted({run for w in texts for run in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True)})
+        self.words = Counter(word for _, word, _ in runs)
+        self.data = b"".join(MARK + word + MARK + after + b"\0" for _, word, after in runs)
+        self.starts = np.cumsum([0, *(len(word) + len(after) + 5 for _, word, after in runs)])
+        sizes = np.fromiter((len(word) for _, word, _ in runs), np.int64, len(runs))
+        del runs
+        data = np.frombuffer(self.data + bytes(GRAM), np.uint8)
         n = len(data) - GRAM + 1
         numbers, whole = np.zeros(n, np.uint64), np.ones(n, bool)
         for i in range(GRAM):
-            numbers |= data[i : i + n] << np.uint64(8 * i)
+            numbers |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
             whole &= data[i : i + n] > 0
-        starts = np.cumsum([0, *(len(b) + 1 for b in bodies)])
         at = np.flatnonzero(whole)
-        self.numbers, self.run = numbers[at], np.searchsorted(starts, at, "right") - 1
+        run = np.searchsorted(self.starts, at, "right") - 1
+        own = at - self.starts[run] < sizes[run] + 2  # a string belongs to the word in which it, or its mark, begins
+        self.numbers, self.run = numbers[at[own]], run[own].astype(np.int32)
         self.distinct, self.times = np.unique(self.numbers, return_counts=True)
 
+    def __len__(self) -> int:
+        return len(self.starts) - 1
+
+    def body(self, k: int) -> bytes:
+        return self.data[self.starts[k] : self.starts[k + 1] - 1]
+
 
 def counted(shares: list[Share]) -> tuple[np.ndarray, np.ndarray, int]:
     """(strings, in how many contexts each stands, number of contexts) of some folds."""
     strings, back = np.unique(np.concatenate([x.distinct for x in shares]), return_inverse=True)
-    return strings, np.bincount(back, np.concatenate([x.times for x in shares]), len(strings)), sum(len(x.runs) for x in shares) + 1
+    return strings, np.bincount(back, np.concatenate([x.times for x in shares]), len(strings)), sum(map(len, shares)) + 1
 
 
 def string_scores(own: list[Share], other: list[Share], least_odds: float) -> tuple[np.ndarray, np.ndarray]:
@@ -159,7 +169,7 @@ def passages(own: list[Share], other: list[Share], least_odds: float) -> bytes:
         place = np.arange(len(hit)) - np.searchsorted(numbers, numbers)
         # of each string a number of contexts, cut to where the strings pay
         for k in np.unique(share.run[hit[place < TRIED]]).tolist():
-            body = MARK + MARK.join(share.runs[k][1:])
+            body = share.body(k)
             best, run, begin, cut = 0.0, 0.0, 0, None
             for i, gram in enumerate(grams(body)):
                 if run <= 0:
@@ -191,7 +201,9 @@ def passages(own: list[Share], other: list[Share], least_odds: float) -> bytes:
 
 def dictionaries(ordinary: list[Share], toxic: list[Share]) -> tuple[bytes, bytes, bytes]:
     """(background, ordinary, toxic) dictionary contents."""
-    words = Counter(word for share in ordinary for _, word, _ in share.runs)
+    words: Counter = Counter()
+    for share in ordinary:
+        words.update(share.words)
     common = sorted(words.items(), key=lambda x: (-x[1], x[0]))[:BACKGROUND_WORDS]
     background = b"".join(b"\0" + MARK + w for w, _ in reversed(common)) + b"\0"
     return background, passages(ordinary, toxic, LEAST_LOG_ODDS[0]), passages(toxic, ordinary, LEAST_LOG_ODDS[1])
@@ -203,8 +215,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
         return Model(b"", b"", b"", 1, None)
     # folds by the text, so that copies of a text share one
     fold = np.array([zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS for text, _ in rows])
-    words = [words_of(text) for text, _ in rows]
-    shares = [[Share([words[i] for i in np.flatnonzero((fold == k) & (labels == y))]) for k in range(FOLDS)] for y in (0, 1)]
+    shares = [[Share([words_of(rows[i][0]) for i in np.flatnonzero((fold == k) & (labels == y))]) for k in range(FOLDS)] for y in (0, 1)]
     savings: list[list[int]] = [[0]] * len(rows)
     for k in range(FOLDS):
         ruler = Ruler(Model(*dictionaries(*([x for j, x in enumerate(mine) if j != k] for mine in shares)), 1, None))
