@@ -26,6 +26,7 @@ ABBREVIATIONS = {
 }
 #: Fixed values of the reference behaviour: the stand-in for a protected full stop, and the text of an empty page.
 PROTECTED_STOP, EMPTY_PAGE = "§", "[No extractable text on this page]"
+#: Fixed value of the reference behaviour: what ends a sentence, with the closing marks behind it.
 SENTENCE_END = r"([.!?…]+)([)\"»’”\]]*)(?U:\s)+"
 
 
@@ -147,7 +148,7 @@ def format_source(book: Column, chapter_num: Column, chapter_name: Column, subch
 
 
 def clean_question(text: Column) -> Column:
-    """Without phrases that point at the source; the first letter as a capital."""
+    """Without phrases that point at the source (fixed values of the reference behaviour); the first letter as a capital."""
     cut = F.regexp_replace(text, r"(?i)(According to|Based on|In) the (text|passage|excerpt|context|documents?),?", "")
     cut = F.regexp_replace(cut, r"(?i)What does the text say about", "What is")
     cut = F.regexp_replace(cut, r"(?U)^\s+|\s+$", "")
@@ -155,9 +156,9 @@ def clean_question(text: Column) -> Column:
 
 
 def category(raw: Column, default: str = "Unknown", mend_hyphen: bool = True) -> Column:
-    named = F.trim(F.initcap(F.coalesce(raw, F.lit(default))))
-    # initcap leaves the part after a hyphen small, as the mended form wants it
-    named = F.when(F.lower(named) == "multi-hop", F.lit("Multi-hop" if mend_hyphen else "Multi-Hop")).otherwise(named)
+    """In title case; mend_hyphen writes Multi-Hop as Multi-hop."""
+    named = F.trim(title_case(F.coalesce(raw, F.lit(default))))
+    named = F.when(named == "Multi-Hop", "Multi-hop").otherwise(named) if mend_hyphen else named
     return F.when(named == "", default).otherwise(named)
 
 
@@ -175,6 +176,10 @@ def property_text(props: Column) -> Column:
     return F.array_join(F.map_values(F.map_filter(props, lambda k, v: k != "source_reference")), " ")
 
 
+def without_reference(props: Column) -> Column:
+    return F.map_filter(props, lambda k, v: k != "source_reference")
+
+
 def node_data(raw: Column) -> Column:
     """A node as text is its own id with a readable name; a node as JSON object gives id, label and name."""
     obj = F.from_json(raw, "id string, label string, name string")
@@ -188,7 +193,11 @@ def node_data(raw: Column) -> Column:
 
 def triple_text(source: Column, relation: Column, target: Column, props: Column) -> Column:
     """Source --[RELATION]--> Target (qualifiers as JSON, unless there are none)."""
-    quoted = lambda c: F.concat(F.lit('"'), F.regexp_replace(c, r'(["\\])', r"\\$1"), F.lit('"'))
+
+    def quoted(c: Column) -> Column:
+        listed = F.to_json(F.array(c))
+        return F.substr(listed, F.lit(2), F.length(listed) - 2)
+
     body = F.array_join(F.transform(F.map_entries(props), lambda e: F.concat(quoted(e["key"]), F.lit(": "), quoted(e["value"]))), ", ")
     tail = F.when(F.size(props) > 0, F.concat(F.lit(" ({"), body, F.lit("})"))).otherwise("")
     return F.concat(source, F.lit(" --["), relation, F.lit("]--> "), target, tail)

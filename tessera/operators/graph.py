@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import property_text, readable_triple, triple_text
+from ..functions.text import node_data, property_text, readable_triple, triple_text, without_reference
 from ..sources.shared import materialize
 from .ranking import Scorer, lexical_score, top
 
@@ -62,17 +62,17 @@ def compare_stats(new: DataFrame, old: DataFrame) -> DataFrame:
 
 def load_graph(edges: DataFrame, nodes: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """(nodes: id, label, name; edges: source, target, relation, properties) of edge rows with `line`; of equal node ids and of equal property
-    keys of an edge the last line counts. Parallel relations stay apart. Types of `nodes` (name, type) become labels, else Concept."""
-    entries = edges.select("source", "target", "relation", "line", F.explode_outer("properties").alias("k", "v"))
+    keys of an edge the last line counts. Ends are names or JSON objects (id, label, name). Parallel relations stay apart. Types of `nodes` (name, type) become labels."""
+    ends = edges.select("*", node_data(F.col("source")).alias("s_"), node_data(F.col("target")).alias("t_"))
+    entries = ends.select(F.col("s_.id").alias("source"), F.col("t_.id").alias("target"), "relation", "line", F.explode_outer("properties").alias("k", "v"))
     last = entries.groupBy("source", "target", "relation", "k").agg(F.max_by("v", "line").alias("v"))
     pairs = F.filter(F.collect_list(F.struct("k", "v")), lambda e: e["k"].isNotNull())
     merged = last.groupBy("source", "target", "relation").agg(F.map_from_entries(F.array_sort(pairs)).alias("properties"))
-    found = merged.select(F.explode(F.array("source", "target")).alias("id")).distinct()
+    mentions = ends.select(F.explode(F.array(F.struct("line", F.lit(0).alias("end"), "s_.*"), F.struct("line", F.lit(1).alias("end"), "t_.*"))).alias("m")).select("m.*")
+    found = mentions.groupBy("id").agg(F.max_by(F.struct("label", "name"), F.struct("line", "end")).alias("m")).select("id", "m.label", "m.name")
     if nodes is not None:
-        found = found.join(nodes.select(F.col("name").alias("id"), "type"), "id", "left").select("id", F.coalesce("type", F.lit("Concept")).alias("label"))
-    else:
-        found = found.withColumn("label", F.lit("Concept"))
-    return found.withColumn("name", F.replace("id", F.lit("_"), F.lit(" "))), merged
+        found = found.join(nodes.select(F.col("name").alias("id"), "type"), "id", "left").select("id", F.coalesce("type", "label").alias("label"), "name")
+    return found, merged
 
 
 def node_search_text(nodes: DataFrame, edges: DataFrame) -> DataFrame:
@@ -143,17 +143,28 @@ def top_nodes(scores: DataFrame, links: DataFrame, seeds: DataFrame, k: int) ->
     return best.select("query_id", "id").union(seeds.select("query_id", "id")).distinct()
 
 
-def rank_edges(candidates: DataFrame, seeds: DataFrame, queries: DataFrame, k: int, limit: int = EDGE_LIMIT, scorer: Scorer = lexical_score) -> DataFrame:
-    """(query_id, rank, triple, score): edges that touch a seed first, cut to `limit`, then by the scorer, the k best. Rendering comes after the cut."""
-    marks = seeds.select("query_id", "id").withColumn("m", F.lit(1.0))
+def named_edges(edges: DataFrame, nodes: DataFrame | None) -> DataFrame:
+    """edges with source_name and target_name: the names of their nodes (id, name), the id where there is none. Sizes decide about broadcasts."""
+    for end in ("source", "target"):
+        if nodes is None:
+            edges = edges.withColumn(f"{end}_name", F.col(end))
+        else:
+            known = nodes.select(F.col("id").alias(end), F.col("name").alias(f"{end}_name"))
+            edges = edges.join(known, end, "left").withColumn(f"{end}_name", F.coalesce(f"{end}_name", end))
+    return edges
+
+
+def rank_edges(candidates: DataFrame, seeds: DataFrame, queries: DataFrame, k: int, limit: int = EDGE_LIMIT, scorer: Scorer = lexical_score, nodes: DataFrame | None = None) -> DataFrame:
+    """(query_id, rank, triple, score): edges that touch a seed first, cut to `limit`, then by the scorer, the k best. Rendering, with the names of the nodes and
+    without source_reference, comes after the cut."""
+    marks = seeds.select("query_id", "id").distinct().withColumn("m", F.lit(1.0))
     touched = candidates
     for end in ("source", "target"):
         touched = touched.join(marks.select("query_id", F.col("id").alias(end), F.col("m").alias(f"m_{end}")), ["query_id", end], "left")
     weighed = touched.withColumn("heuristic", F.lit(1.0) + F.greatest(F.coalesce("m_source", F.lit(0.0)), F.coalesce("m_target", F.lit(0.0))))
     first = weighed.withColumn("n", F.row_number().over(Window.partitionBy("query_id").orderBy(F.desc("heuristic"), "source", "target", "relation"))).where(F.col("n") <= limit)
-    rendered = first.join(queries.select("query_id", F.col("text").alias("query")), "query_id").select(
-        "query_id", "source", "target", "relation", triple_text(F.col("source"), F.col("relation"), F.col("target"), F.col("properties")).alias("triple"),
-        F.round(scorer(F.col("query"), readable_triple(F.col("source"), F.col("relation"), F.col("target"), F.col("properties"))), 9).alias("score"),
-    )
+    asked = named_edges(first.join(queries.select("query_id", F.col("text").alias("query")), "query_id"), nodes)
+    parts = (F.col("source_name"), F.col("relation"), F.col("target_name"), without_reference(F.col("properties")))
+    rendered = asked.select("query_id", "source", "target", "relation", triple_text(*parts).alias("triple"), F.round(scorer(F.col("query"), readable_triple(*parts)), 9).alias("score"))
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "source", "target", "relation")
     return rendered.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "triple", "score")

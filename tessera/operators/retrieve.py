@@ -52,7 +52,7 @@ def graph_facts(nodes: DataFrame, edges: DataFrame, queries: DataFrame, seeds: D
     links = materialize(graph.topology(edges))
     scores = graph.personalised_pagerank(links, nodes.select("id"), seeds, iterations=iterations)
     chosen = materialize(graph.top_nodes(scores, links, seeds, k))
-    found = materialize(graph.rank_edges(graph.induced_edges(edges, chosen), seeds, queries, k, limit, scorer).select("query_id", "rank", F.col("triple").alias("line")))
+    found = materialize(graph.rank_edges(graph.induced_edges(edges, chosen), seeds, queries, k, limit, scorer, nodes).select("query_id", "rank", F.col("triple").alias("line")))
     bare = seeds.join(found.select("query_id").distinct(), "query_id", "left_anti").join(described.select("id", "search_text"), "id")
     texts = ranking.top(bare, k, tie="id").select("query_id", "rank", F.concat(F.lit("Node Info: "), "search_text").alias("line"))
     return found.unionByName(texts)

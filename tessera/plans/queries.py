@@ -31,11 +31,12 @@ def query(sql: str | None = None) -> Callable[[Query], Query]:
 
 PASSAGE_TOKENS = "list_filter(string_split_regex(lower(strip_accents({})), '\\s+'), lambda w: w <> '')"
 TERM_STATS = f"""
-tok AS (SELECT doc_id, {PASSAGE_TOKENS.format("text")} AS w FROM documents),
-dfs AS (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS term FROM tok) GROUP BY term),
+tok AS MATERIALIZED (SELECT doc_id, {PASSAGE_TOKENS.format("text")} AS w FROM documents),
+dfs AS MATERIALIZED (SELECT term, count(*) AS df FROM (SELECT DISTINCT doc_id, unnest(w) AS term FROM tok) GROUP BY term),
 size_ AS (SELECT count(*) AS n, avg(CAST(len(w) AS DOUBLE)) AS avgdl FROM tok),
-raw_ AS (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM dfs, size_),
-stats AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25::DOUBLE * (SELECT avg(idf) FROM raw_) ELSE idf END AS idf FROM raw_)"""
+raw_ AS MATERIALIZED (SELECT term, df, ln(n - df + 0.5::DOUBLE) - ln(df + 0.5::DOUBLE) AS idf FROM dfs, size_),
+mean_ AS (SELECT avg(idf) AS mean FROM raw_),
+stats AS (SELECT term, df, CASE WHEN idf < 0 THEN 0.25::DOUBLE * mean ELSE idf END AS idf FROM raw_, mean_)"""
 BM25 = f"""{TERM_STATS},
 qt AS (SELECT query_id, term, count(*) AS times FROM (SELECT item_id AS query_id, unnest({PASSAGE_TOKENS.format("text")}) AS term FROM benchmark) GROUP BY ALL),
 post AS (SELECT doc_id, term, len(w) AS dl, count(*) AS tf FROM (SELECT doc_id, w, unnest(w) AS term FROM tok) GROUP BY ALL),
@@ -62,7 +63,8 @@ def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {TERM_STATS} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM stats")
 def bm25_term_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.term_stats(b.corpus(spark, sf_dir), t.passage_tokens).withColumn("idf", F.round("idf", 6))
+    index = files_free(ranking.bm25_index(b.corpus(spark, sf_dir), t.passage_tokens))
+    return ranking.term_stats(index).withColumn("idf", F.round("idf", 6))
 
 
 @query(f"WITH {DENSE} SELECT query_id, doc_id, score, rank FROM {_ranked('de', TOP)}")

@@ -74,10 +74,12 @@ def pdf_text(pages: DataFrame) -> DataFrame:
 
 
 def edges(spark: SparkSession, path: str, legacy_props: bool = False) -> DataFrame:
-    """Edges with properties as a map; lines without source, target or relation are dropped. legacy_props reads the names that the old reader knew."""
-    raw = _lines(spark, path, EDGE).where("source is not null and target is not null and relation is not null")
+    """Edges with properties as a map and `line`, which rises with the place in the file; lines without source, target or relation are dropped. A qualifier that is
+    a list becomes its values, parted by slashes. legacy_props reads the names that the old reader knew."""
+    raw = _lines(spark, path, EDGE).withColumn("line", F.monotonically_increasing_id()).where("source is not null and target is not null and relation is not null")
     props = F.coalesce(_string_map(F.col("edge_properties")), _string_map(F.col("props")), *([] if legacy_props else [_string_map(F.col("properties"))]), F.create_map().cast("map<string,string>"))
-    return raw.select("source", "target", "relation", props.alias("properties"))
+    values = F.transform_values(props, lambda k, v: F.coalesce(F.when(v.startswith("["), F.array_join(F.from_json(v, "array<string>"), "/")), v))
+    return raw.select("source", "target", "relation", values.alias("properties"), "line")
 
 
 def questions(spark: SparkSession, path: str) -> DataFrame:
@@ -142,6 +144,21 @@ def append_results(df: DataFrame, path: str) -> None:
     df.write.mode("append").parquet(path)
 
 
+class IndexCache:
+    """Index tables by name, made once: Parquet that is read again when it is there and whole, else built and written anew."""
+
+    def __init__(self, spark: SparkSession, path: str):
+        self.spark, self.path = spark, path
+
+    def get(self, name: str, build: Callable[[], DataFrame]) -> DataFrame:
+        where = f"{self.path}/{name}"
+        try:
+            return self.spark.read.parquet(where)
+        except Exception:  # noqa: BLE001  missing or broken: both mean that it is made again
+            build().write.mode("overwrite").parquet(where)
+            return self.spark.read.parquet(where)
+
+
 class ExtractionCache:
     """Triples by hash of the chunk: Parquet that grows by appending; a folder that can't be read counts as empty."""
 

@@ -9,12 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir, else the warehouse; in local mode without the former a temporary folder."""
+    """spark.checkpoint.dir; in local mode without it a temporary folder. A cluster without it is an error: folders of single machines can't be shared."""
     folder = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
     if folder:
         return folder.rstrip("/")
     if spark.sparkContext.master.split("[")[0] != "local":
-        return spark.conf.get("spark.sql.warehouse.dir").rstrip("/")
+        raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
     folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
     spark.sparkContext.setCheckpointDir(folder)
     return folder

@@ -20,7 +20,7 @@ def rows(df, *columns):
 
 def test_bm25(spark):
     docs, asked = spark.createDataFrame(DOCS, "doc_id long, text string"), spark.createDataFrame([(0, "the rider")], "query_id long, text string")
-    idf = {r.term: r.idf for r in ranking.term_stats(docs, passage_tokens).collect()}
+    idf = {r.term: r.idf for r in ranking.term_stats(ranking.bm25_index(docs, passage_tokens)).collect()}
     assert idf["the"] == pytest.approx(0.2436, abs=1e-4)
     got = {r.doc_id: round(r.score, 4) for r in ranking.bm25(docs, asked, passage_tokens).collect()}
     assert got == {1: 0.2551, 2: 1.2322, 5: 0.2998, 6: 0.2971}
@@ -40,7 +40,12 @@ def test_fusion(spark):
 
 
 def test_dense_equals_plain_search_in_blocks(spark, monkeypatch):
-    monkeypatch.setattr(ranking, "QUERY_BLOCK", 3)
+    for block in (3, 4096):
+        monkeypatch.setattr(ranking, "QUERY_BLOCK", block)
+        check_dense(spark)
+
+
+def check_dense(spark):
     r = np.random.RandomState(0)
     vec = r.normal(size=(60, 5))
     table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "doc_id long, vec array<double>")
@@ -48,6 +53,8 @@ def test_dense_equals_plain_search_in_blocks(spark, monkeypatch):
     unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
     for q, i, rank in rows(ranking.dense(table, asked, 4), "query_id", "doc_id", "rank"):
         assert np.argsort(-(unit @ unit[q]))[rank - 1] == i
+    named = ranking.dense(table.withColumn("doc_id", F.concat(F.lit("n"), "doc_id")), asked.withColumn("query_id", F.concat(F.lit("q"), "query_id")), 4)
+    assert rows(named, "query_id", "doc_id") == sorted((f"q{q}", f"n{i}") for q, i in rows(ranking.dense(table, asked, 4), "query_id", "doc_id"))
 
 
 def test_rerank_with_model(spark):
@@ -82,9 +89,9 @@ def test_edge_fusion(spark):
 def test_loading_merges_lines(spark):
     e = spark.createDataFrame([("a", "b", "R", {"x": "1", "y": "1"}, 1), ("a", "b", "R", {"x": "2"}, 2), ("a", "b", "S", {}, 3)], "source string, target string, relation string, properties map<string,string>, line int")
     nodes, edges = graph.load_graph(e, spark.createDataFrame([("a", "Horse")], "name string, type string"))
-    assert rows(nodes, "id", "label") == [("a", "Horse"), ("b", "Concept")]
+    assert rows(nodes, "id", "label", "name") == [("a", "Horse", "A"), ("b", "Concept", "B")]
     assert {r.relation: r.properties for r in edges.collect()} == {"R": {"x": "2", "y": "1"}, "S": {}}
-    assert rows(graph.node_search_text(nodes, edges), "id", "search_text") == [("a", "Horse: a. 2 1"), ("b", "Concept: b.")]
+    assert rows(graph.node_search_text(nodes, edges), "id", "search_text") == [("a", "Horse: A. 2 1"), ("b", "Concept: B.")]
 
 
 def test_seed_selection(spark):

@@ -20,7 +20,7 @@ def test_edges(spark, tmp_path):
     assert {r.target: r.properties for r in files.edges(spark, p, legacy_props=True).collect()}["b"] == {}
     fused = graph.fuse_edges(spark.createDataFrame([("a", "R", "b", "v")], "source string, relation string, target string, modality string"), ["modality"])
     files.write_edges(fused, str(tmp_path / "out"))
-    assert files.edges(spark, str(tmp_path / "out")).first().properties == {"modality": '["v"]'}
+    assert files.edges(spark, str(tmp_path / "out")).first().properties == {"modality": "v"}
 
 
 def test_questions(spark, tmp_path):
