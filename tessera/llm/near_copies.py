@@ -6,7 +6,10 @@ prefix filter adds what lies too far apart for 64 bits, so that no pair at or ab
    filter). The order puts shingles that a bounded sample holds often last, so that common passages seldom lead; which ones the sample finds
    changes the cost, never the result. Neighbours in each leading shingle are candidates as well.
 3. The texts confirm or reject the candidates of both kinds. Sets that share a leading shingle and are still in different components are compared
-   in a last round, where their sizes and places allow the overlap; that connects the same sets as all pairs do.
+   in a last round; that connects the same sets as all pairs do.
+
+Before a pair becomes a candidate, sizes, places and parity bitmaps must allow the similarity: a bitmap has the parity of how many shingles fall on each of
+PARITY bits, so two bitmaps never differ in more bits than the sets differ in shingles. That bound rejects no pair wrongly.
 
 At a similarity of 0.8 two fingerprints differ in 10 of 64 bits on average, which is why the index alone finds but the closest copies.
 
@@ -37,6 +40,8 @@ CHUNK, SENT = 1 << 21, 1 << 18
 NEAR = 4
 #: Bits that linked fingerprints may differ in, and rows of a partition.
 DISTANCE, PART_ROWS = 3, 1 << 18
+#: Bits of a parity bitmap, and its columns.
+PARITY, BITMAP = 256, ["b0", "b1", "b2", "b3"]
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -65,13 +70,13 @@ def marked(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
     """doc_id, text, set_id, the fingerprint, the number of shingles and the leading ones in order."""
     hashes, ranks = common(docs, shingle)
     last = docs.sparkSession.sparkContext.broadcast((hashes, ranks))
-    schema = docs.select("doc_id", "text").withColumns({"set_id": F.lit(0).cast("long"), "fp": F.lit(0).cast("long"), "n": F.lit(0), "lead": F.array().cast("array<long>")}).schema
+    schema = docs.select("doc_id", "text").withColumns({"set_id": F.lit(0).cast("long"), "fp": F.lit(0).cast("long"), "n": F.lit(0), **{b: F.lit(0).cast("long") for b in BITMAP}, "lead": F.array().cast("array<long>")}).schema
     over, under = least
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes, ranks = last.value
         for batch in batches:
-            ids, sizes, leads, prints = [], [], [], []
+            ids, sizes, leads, prints, parity = [], [], [], [], []
             for text in column(batch, "text"):
                 h = shingle_hashes(text, shingle)
                 prints.append(fingerprint_of(h))
@@ -79,6 +84,7 @@ def marked(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
                 n = len(h)
                 ids.append(xxhash.xxh64_intdigest(h.tobytes(), SEED) if n else 0)
                 sizes.append(n)
+                parity.append(np.packbits(np.bincount((h % np.uint64(PARITY)).astype(np.int64), minlength=PARITY) & 1).view(np.int64))
                 rank = np.zeros(n, np.int64)
                 if len(hashes) and n:
                     at = np.minimum(np.searchsorted(hashes, h), len(hashes) - 1)
@@ -86,9 +92,9 @@ def marked(docs: DataFrame, shingle: int, least: tuple[int, int]) -> DataFrame:
                 leads.append(h[np.argsort(rank, kind="stable")][: n - -(-over * n // under) + 1 if n else 0].view(np.int64))
             offsets = np.concatenate([[0], np.cumsum([len(x) for x in leads])]).astype(np.int32)
             lead = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(leads) if leads else np.empty(0, np.int64)))
-            made = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, prints)), pa.array(sizes, pa.int32()), lead]
+            made = [*(pa.array(np.array(x, np.uint64).view(np.int64)) for x in (ids, prints)), pa.array(sizes, pa.int32()), *(pa.array(x) for x in np.array(parity, np.int64).reshape(-1, len(BITMAP)).T), lead]
             kept = [batch.column(batch.schema.get_field_index(k)) for k in ("doc_id", "text")]
-            yield pa.RecordBatch.from_arrays([*kept, *made], names=["doc_id", "text", "set_id", "fp", "n", "lead"])
+            yield pa.RecordBatch.from_arrays([*kept, *made], names=["doc_id", "text", "set_id", "fp", "n", *BITMAP, "lead"])
 
     return docs.select("doc_id", "text").mapInArrow(run, schema)
 
@@ -99,8 +105,8 @@ def _columns(batches: Iterator[pa.RecordBatch], names: list[str]) -> list[np.nda
 
 
 def _rows_that_meet(leading: DataFrame, count: int) -> DataFrame:
-    """The rows (h, set_id, n, pos) whose shingle leads more than one set."""
-    names = ["h", "set_id", "n", "pos"]
+    """The rows (h, set_id, n, pos, bitmap) whose shingle leads more than one set."""
+    names = ["h", "set_id", "n", "pos", *BITMAP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rows = _columns(batches, names)
@@ -110,21 +116,21 @@ def _rows_that_meet(leading: DataFrame, count: int) -> DataFrame:
             yield pa.RecordBatch.from_arrays([pa.array(r[at[start : start + (1 << 16)]]) for r in rows], names=names)
 
     parts = sized_partitions(leading.sparkSession, count, PART_ROWS)
-    return leading.repartition(parts, "h").select(*names).mapInArrow(run, "h long, set_id long, n int, pos int")
+    return leading.repartition(parts, "h").select(*names).mapInArrow(run, "h long, set_id long, n int, pos int, b0 long, b1 long, b2 long, b3 long")
 
 
 def _candidates(rows: DataFrame, least: tuple[int, int], all_pairs: bool) -> DataFrame:
-    """Pairs (a, b) of sets that may be similar, from rows (h, label, set_id, n, pos): neighbours in each shingle, or all of different labels."""
+    """Pairs (a, b) of sets that may be similar, from rows (h, label, set_id, n, pos, bitmap): neighbours in each shingle, or all of different labels."""
     over, under = least
-    names = ["h", "label", "n", "set_id", "pos"]
+    names = ["h", "label", "n", "set_id", "pos", *BITMAP]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        h, label, n, ids, pos = _columns(batches, names)
+        h, label, n, ids, pos, *bitmap = _columns(batches, names)
         n, pos = n.astype(np.int64), pos.astype(np.int64)
-        # neighbours differ from shingle to shingle, so that a dense group gets as many different links as shingles
-        mixed = (ids ^ h).view(np.uint64) * MIX
+        # neighbours are the same for all shingles, so that a dense group gets a few links for each set, not for each shingle of it
+        mixed = ids.view(np.uint64) * MIX
         order = np.lexsort((ids, label, h) if all_pairs else (ids, mixed ^ (mixed >> np.uint64(32)), h))
-        h, label, n, ids, pos = (x[order] for x in (h, label, n, ids, pos))
+        h, label, n, ids, pos, *bitmap = (x[order] for x in (h, label, n, ids, pos, *bitmap))
         size = len(h)
         if not size:
             return
@@ -145,6 +151,9 @@ def _candidates(rows: DataFrame, least: tuple[int, int], all_pairs: bool) -> Dat
             bound = 1 + np.minimum(n[i] - pos[i], n[j] - pos[j]) - 1
             ok = (over * np.maximum(n[i], n[j]) <= under * np.minimum(n[i], n[j])) & ((over + under) * bound >= over * (n[i] + n[j]))
             i, j = i[ok], j[ok]
+            apart = sum(np.bitwise_count((b[i] ^ b[j]).view(np.uint64)).astype(np.int64) for b in bitmap)
+            ok = (over + under) * apart <= (under - over) * (n[i] + n[j])
+            i, j = i[ok], j[ok]
             pairs = np.stack([np.minimum(ids[i], ids[j]), np.maximum(ids[i], ids[j])])
             kept = np.unique(np.concatenate([kept, pairs], axis=1), axis=1)
             if kept.shape[1] > CHUNK or done >= size:
@@ -191,14 +200,14 @@ def _linked_by_index(sets: DataFrame) -> DataFrame:
 def near_copies(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (4, 5)) -> DataFrame:
     """(doc_id, component_id): one row per document with the smallest id it reaches over pairs of similarity least[0] / least[1] and more."""
     all_docs = materialize(marked(docs, shingle, least))
-    sets = materialize(all_docs.select("set_id", "fp", "n", "lead").dropDuplicates(["set_id"]))
+    sets = materialize(all_docs.select("set_id", "fp", "n", *BITMAP, "lead").dropDuplicates(["set_id"]))
     count = sets.agg(F.sum(F.size("lead"))).first()[0] or 0
-    rows = materialize(_rows_that_meet(sets.select("set_id", "n", F.posexplode("lead").alias("pos", "h")), count))
+    rows = materialize(_rows_that_meet(sets.select("set_id", "n", *BITMAP, F.posexplode("lead").alias("pos", "h")), count))
     text = all_docs.select("set_id", "text")
     near = _linked_by_index(sets).union(_candidates(rows.withColumn("label", F.col("set_id")), least, False))
     pairs = materialize(_confirmed(near.distinct(), text, shingle, least))
     label = components(pairs)
-    labelled = rows.join(label, rows.set_id == label.node, "left").select("h", "set_id", "n", "pos", F.coalesce("label", "set_id").alias("label"))
+    labelled = rows.join(label, rows.set_id == label.node, "left").select("h", "set_id", "n", "pos", *BITMAP, F.coalesce("label", "set_id").alias("label"))
     pairs = pairs.union(_confirmed(_candidates(labelled, least, True), text, shingle, least))
     distinct = all_docs.groupBy("set_id").agg(F.min("doc_id").alias("least"))
     label = components(pairs)

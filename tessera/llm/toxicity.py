@@ -46,6 +46,8 @@ THRESHOLDS, RIDGE, FOLDS = range(1, 9), 0.05, 3
 LEAST_CONTEXTS, LEAST_SHARE, LEAST_LOG_ODDS = 5, 2e-4, (3.0, 3.0)
 #: Bytes of passages in a dictionary (and strings that count), contexts tried for a string, and what a string without a score costs a passage.
 PASSAGES, TRIED, COST = 4096, 16, -1.0
+#: Bytes of contexts whose strings are numbered at once.
+SLICE = 1 << 20
 #: Known to both dictionaries and put after every window, so that zstandard never falls back to storing a window raw.
 ANCHOR = b"0123456789 ABCDEFGHIJKLMNOPQRSTUVWXYZ 0123456789 ABCDEF"
 LETTERS = bytes(c if 97 <= c <= 122 or c >= 192 and c not in (215, 247) else 32 for c in range(256))
@@ -109,7 +111,7 @@ class Ruler:
 
 
 class Share:
-    """The distinct runs of three words in one fold of the texts of a class, and their strings of GRAM bytes as numbers."""
+    """The distinct runs of three words in one fold of the texts of a class, and their strings of GRAM bytes as numbers, in order, each with its run."""
 
     def __init__(self, texts: list[list[bytes]]):
         runs = sorted({run for w in texts for run in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True)})
@@ -119,16 +121,29 @@ class Share:
         sizes = np.fromiter((len(word) for _, word, _ in runs), np.int64, len(runs))
         del runs
         data = np.frombuffer(self.data + bytes(GRAM), np.uint8)
-        n = len(data) - GRAM + 1
-        numbers, whole = np.zeros(n, np.uint64), np.ones(n, bool)
-        for i in range(GRAM):
-            numbers |= data[i : i + n].astype(np.uint64) << np.uint64(8 * i)
-            whole &= data[i : i + n] > 0
-        at = np.flatnonzero(whole)
-        run = np.searchsorted(self.starts, at, "right") - 1
-        own = at - self.starts[run] < sizes[run] + 2  # a string belongs to the word in which it, or its mark, begins
-        self.numbers, self.run = numbers[at[own]], run[own].astype(np.int32)
-        self.distinct, self.times = np.unique(self.numbers, return_counts=True)
+        found = []
+        for begin in range(0, len(data) - GRAM + 1, SLICE):
+            part = data[begin : begin + SLICE + GRAM - 1].astype(np.uint64)
+            n = len(part) - GRAM + 1
+            numbers, whole = np.zeros(n, np.uint64), np.ones(n, bool)
+            for i in range(GRAM):
+                numbers |= part[i : i + n] << np.uint64(8 * i)
+                whole &= part[i : i + n] > 0
+            at = np.flatnonzero(whole) + begin
+            run = np.searchsorted(self.starts, at, "right") - 1
+            own = at - self.starts[run] < sizes[run] + 2  # a string belongs to the word in which it, or its mark, begins
+            found.append((numbers[at[own] - begin], run[own].astype(np.int32)))
+        numbers, run = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        order = np.argsort(numbers, kind="stable")
+        self.numbers, self.run = numbers[order], run[order]
+
+    def frequent(self, least: float) -> np.ndarray:
+        """The strings that stand in at least so many contexts."""
+        ends = np.append(np.flatnonzero(self.numbers[1:] != self.numbers[:-1]) + 1, len(self.numbers)) if len(self.numbers) else np.zeros(0, np.int64)
+        return self.numbers[ends[np.diff(ends, prepend=0) >= least] - 1]
+
+    def places(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return np.searchsorted(self.numbers, strings, "left"), np.searchsorted(self.numbers, strings, "right")
 
     def __len__(self) -> int:
         return len(self.starts) - 1
@@ -137,20 +152,15 @@ class Share:
         return self.data[self.starts[k] : self.starts[k + 1] - 1]
 
 
-def counted(shares: list[Share]) -> tuple[np.ndarray, np.ndarray, int]:
-    """(strings, in how many contexts each stands, number of contexts) of some folds."""
-    strings, back = np.unique(np.concatenate([x.distinct for x in shares]), return_inverse=True)
-    return strings, np.bincount(back, np.concatenate([x.times for x in shares]), len(strings)), sum(map(len, shares)) + 1
-
-
 def string_scores(own: list[Share], other: list[Share], least_odds: float) -> tuple[np.ndarray, np.ndarray]:
     """(strings, scores) of the strings that tell a class from the other one; the best PASSAGES of them."""
-    strings, n, total = counted(own)
-    theirs, m, other_total = counted(other)
-    at = np.minimum(np.searchsorted(theirs, strings), max(0, len(theirs) - 1))
-    there = np.where(theirs[at] == strings, m[at], 0) if len(theirs) else np.zeros(len(strings))
+    total, other_total = (sum(map(len, shares)) + 1 for shares in (own, other))
+    least = max(LEAST_CONTEXTS, LEAST_SHARE * total)
+    # what is frequent enough in all folds is frequent enough, by its part, in one of them
+    strings = np.unique(np.concatenate([x.frequent(least / len(own)) for x in own]))
+    n, there = (sum(np.subtract(*x.places(strings)[::-1]) for x in shares) for shares in (own, other))
     odds = np.log((n + 0.5) / total) - np.log((there + 0.5) / other_total)
-    kept = np.flatnonzero((n >= max(LEAST_CONTEXTS, LEAST_SHARE * total)) & (odds > least_odds))
+    kept = np.flatnonzero((n >= least) & (odds > least_odds))
     kept = kept[np.argsort(-n[kept] * odds[kept], kind="stable")[:PASSAGES]]
     kept.sort()
     return strings[kept], n[kept] * odds[kept]
@@ -163,12 +173,9 @@ def passages(own: list[Share], other: list[Share], least_odds: float) -> bytes:
     grams = lambda p: [p[i : i + GRAM] for i in range(len(p) - GRAM + 1)]
     found: set[bytes] = set()
     for share in own:
-        hit = np.flatnonzero(np.isin(share.numbers, strings))
-        hit = hit[np.argsort(share.numbers[hit], kind="stable")]
-        numbers = share.numbers[hit]
-        place = np.arange(len(hit)) - np.searchsorted(numbers, numbers)
         # of each string a number of contexts, cut to where the strings pay
-        for k in np.unique(share.run[hit[place < TRIED]]).tolist():
+        tried = [share.run[a : min(b, a + TRIED)] for a, b in zip(*(x.tolist() for x in share.places(strings)), strict=True)]
+        for k in np.unique(np.concatenate([np.zeros(0, np.int32), *tried])).tolist():
             body = share.body(k)
             best, run, begin, cut = 0.0, 0.0, 0, None
             for i, gram in enumerate(grams(body)):
