@@ -23,6 +23,7 @@ import codecs
 import heapq
 import math
 import zlib
+from array import array
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -111,15 +112,23 @@ class Ruler:
 
 
 class Share:
-    """The distinct runs of three words in one fold of the texts of a class, and their strings of GRAM bytes as numbers, in order, each with its run."""
-
-    def __init__(self, texts: list[list[bytes]]):
-        runs = sorted({run for w in texts for run in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True)})
-        self.words = Counter(word for _, word, _ in runs)
-        self.data = b"".join(MARK + word + MARK + after + b"\0" for _, word, after in runs)
-        self.starts = np.cumsum([0, *(len(word) + len(after) + 5 for _, word, after in runs)])
-        sizes = np.fromiter((len(word) for _, word, _ in runs), np.int64, len(runs))
-        del runs
+    """The distinct runs of three words in one fold of the texts of a class, and their strings of GRAM bytes as numbers: how often each stands there, and some contexts of it."""
+
+    def __init__(self, texts: Iterator[list[bytes]]):
+        seen: set[int] = set()
+        data, long, ends, words = bytearray(), array("l"), array("l", [0]), Counter()
+        for w in texts:
+            for run in zip([b"", *w[:-1]], w, [*w[1:], b""], strict=True):
+                if (key := hash(run)) not in seen:
+                    seen.add(key)
+                    data += MARK + run[1] + MARK + run[2] + b"\0"
+                    long.append(len(run[1]))
+                    ends.append(len(data))
+                    words[run[1]] += 1
+        del seen
+        self.words = dict(words.most_common(10 * BACKGROUND_WORDS))
+        self.data, self.starts, sizes = bytes(data), np.array(ends, np.int64), np.array(long, np.int64)
+        del data, words
         data = np.frombuffer(self.data + bytes(GRAM), np.uint8)
         found = []
         for begin in range(0, len(data) - GRAM + 1, SLICE):
@@ -134,16 +143,27 @@ class Share:
             own = at - self.starts[run] < sizes[run] + 2  # a string belongs to the word in which it, or its mark, begins
             found.append((numbers[at[own] - begin], run[own].astype(np.int32)))
         numbers, run = (np.concatenate([x[i] for x in found]) for i in (0, 1))
+        del found
         order = np.argsort(numbers, kind="stable")
-        self.numbers, self.run = numbers[order], run[order]
+        numbers, run = numbers[order], run[order]
+        ends = np.append(np.flatnonzero(numbers[1:] != numbers[:-1]) + 1, len(numbers)) if len(numbers) else np.zeros(0, np.int64)
+        self.strings, self.times = numbers[ends - 1], np.diff(ends, prepend=0).astype(np.int32)
+        # of each string the first TRIED contexts
+        first = np.repeat(ends - self.times, self.times)
+        self.tried, self.upto = run[np.arange(len(run)) - first < TRIED], np.cumsum(np.minimum(self.times, TRIED))
 
     def frequent(self, least: float) -> np.ndarray:
         """The strings that stand in at least so many contexts."""
-        ends = np.append(np.flatnonzero(self.numbers[1:] != self.numbers[:-1]) + 1, len(self.numbers)) if len(self.numbers) else np.zeros(0, np.int64)
-        return self.numbers[ends[np.diff(ends, prepend=0) >= least] - 1]
+        return self.strings[self.times >= least]
 
-    def places(self, strings: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        return np.searchsorted(self.numbers, strings, "left"), np.searchsorted(self.numbers, strings, "right")
+    def find(self, strings: np.ndarray) -> np.ndarray:
+        """The place of each string here, -1 where there is none."""
+        at = np.minimum(np.searchsorted(self.strings, strings), max(0, len(self.strings) - 1))
+        return np.where(self.strings[at] == strings, at, -1) if len(self.strings) else np.full(len(strings), -1)
+
+    def count(self, strings: np.ndarray) -> np.ndarray:
+        at = self.find(strings)
+        return np.where(at >= 0, self.times[at], 0) if len(self.times) else np.zeros(len(strings), np.int64)
 
     def __len__(self) -> int:
         return len(self.starts) - 1
@@ -158,7 +178,7 @@ def string_scores(own: list[Share], other: list[Share], least_odds: float) -> tu
     least = max(LEAST_CONTEXTS, LEAST_SHARE * total)
     # what is frequent enough in all folds is frequent enough, by its part, in one of them
     strings = np.unique(np.concatenate([x.frequent(least / len(own)) for x in own]))
-    n, there = (sum(np.subtract(*x.places(strings)[::-1]) for x in shares) for shares in (own, other))
+    n, there = (sum(x.count(strings).astype(np.int64) for x in shares) for shares in (own, other))
     odds = np.log((n + 0.5) / total) - np.log((there + 0.5) / other_total)
     kept = np.flatnonzero((n >= least) & (odds > least_odds))
     kept = kept[np.argsort(-n[kept] * odds[kept], kind="stable")[:PASSAGES]]
@@ -174,7 +194,8 @@ def passages(own: list[Share], other: list[Share], least_odds: float) -> bytes:
     found: set[bytes] = set()
     for share in own:
         # of each string a number of contexts, cut to where the strings pay
-        tried = [share.run[a : min(b, a + TRIED)] for a, b in zip(*(x.tolist() for x in share.places(strings)), strict=True)]
+        at = share.find(strings)
+        tried = [share.tried[share.upto[k] - min(share.times[k], TRIED) : share.upto[k]] for k in at[at >= 0].tolist()]
         for k in np.unique(np.concatenate([np.zeros(0, np.int32), *tried])).tolist():
             body = share.body(k)
             best, run, begin, cut = 0.0, 0.0, 0, None
@@ -222,7 +243,7 @@ def train(rows: list[tuple[str, int]]) -> Model:
         return Model(b"", b"", b"", 1, None)
     # folds by the text, so that copies of a text share one
     fold = np.array([zlib.crc32(text.encode("utf-8", "surrogatepass")) % FOLDS for text, _ in rows])
-    shares = [[Share([words_of(rows[i][0]) for i in np.flatnonzero((fold == k) & (labels == y))]) for k in range(FOLDS)] for y in (0, 1)]
+    shares = [[Share(words_of(rows[i][0]) for i in np.flatnonzero((fold == k) & (labels == y))) for k in range(FOLDS)] for y in (0, 1)]
     savings: list[list[int]] = [[0]] * len(rows)
     for k in range(FOLDS):
         ruler = Ruler(Model(*dictionaries(*([x for j, x in enumerate(mine) if j != k] for mine in shares)), 1, None))
