@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -20,6 +21,10 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+#: The paths that `released` is collecting, innermost last.
+_collecting: list[list[str]] = []
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Write df once as a table in the shared folder and return a scan of it: later uses don't recompute it, and no executor holds the only copy.
 
@@ -28,6 +33,22 @@ def materialize(df: DataFrame) -> DataFrame:
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/tessera-{uuid.uuid4().hex}"
     df.write.option("compression", "zstd").parquet(path)
+    if _collecting:
+        _collecting[-1].append(path)
     where = spark._jvm.org.apache.hadoop.fs.Path(path)
     where.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(df.schema).parquet(path)
+
+
+def released(build: Callable[[], DataFrame]) -> DataFrame:
+    """The result of build() as a table; the tables that were made on the way to it are deleted at once, not with the session."""
+    _collecting.append([])
+    try:
+        df = build()
+    finally:
+        made = _collecting.pop()
+    spark, kept = df.sparkSession, materialize(df)
+    for path in made:
+        where = spark._jvm.org.apache.hadoop.fs.Path(path)
+        where.getFileSystem(spark._jsc.hadoopConfiguration()).delete(where, True)
+    return kept
