@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm import curriculum, decontaminate, near_copies, suffix_repeats, toxicity
 from tessera.llm.common import table
-from tessera.sources.shared import materialize
+from tessera.sources.shared import materialize, released
 
 Docs = DataFrame
 
@@ -41,7 +41,7 @@ def drop_toxic(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
 
 def one_of_each_group(spark: SparkSession, docs: Docs, sf_dir: str) -> Docs:
     """The document with the smallest id of each group of near copies (null ids only where a group has no other). Null and blank texts are one group. Of rows with one id the first by text and then by all columns as text stays."""
-    found = materialize(near_copies.near_copies(docs, shingle=5, least=(4, 5)))
+    found = released(lambda: near_copies.near_copies(docs, shingle=5, least=(4, 5)))
     winners = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy(F.col("doc_id").alias("winner")).agg(F.count("*").alias("times"))
     kept = docs.join(winners, docs.doc_id.eqNullSafe(winners.winner), "left_semi")
     if not winners.where("times > 1").limit(1).count():
