@@ -212,6 +212,7 @@ def near_copies(docs: DataFrame, shingle: int = 5, least: tuple[int, int] = (4,
     distinct = all_docs.groupBy("set_id").agg(F.min("doc_id").alias("least"))
     label = components(pairs)
     rooted = distinct.join(label, distinct.set_id == label.node, "left").select("set_id", "least", F.coalesce("label", "set_id").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # as a table: the join then reads two exchanges, so adaptive execution can split the rows of a very large component
+    roots = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(roots, "root").select("set_id", "component_id")
     return all_docs.select("doc_id", "set_id").join(named, "set_id").select("doc_id", "component_id")

@@ -258,7 +258,8 @@ def near_duplicates(docs: DataFrame, distance: int = 2, shingle: int = 3) -> Dat
     distinct = materialize(marked.groupBy("fp").agg(F.min("doc_id").alias("least")))
     label = components(links(distinct.select("fp"), distance))
     rooted = distinct.join(label, distinct.fp == label.node, "left").select("fp", "least", F.coalesce("label", "fp").alias("root"))
-    roots = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
+    # as a table: the join then reads two exchanges, so adaptive execution can split the rows of a very large component
+    roots = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")))
     named = rooted.join(roots, "root").select("fp", "component_id")
     return marked.join(named, "fp").select("doc_id", "fp", "component_id")
 
