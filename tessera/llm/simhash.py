@@ -37,6 +37,8 @@ BITS = 64
 SEED = 42
 FANOUT = 16
 CHUNK = 4096
+#: Pairs of query and node whose members are looked at together.
+NODES = 1 << 16
 #: Fingerprints of a block value from which it is split, how often, and fingerprints in a partition.
 HOT, LEVELS, PART_ROWS = 1 << 15, 3, 1 << 17
 ONE = np.uint64(1)
@@ -113,11 +115,14 @@ class GrayIndex:
 
     def search(self, queries: np.ndarray, distance: int) -> tuple[np.ndarray, np.ndarray]:
         """(query index, code index) of all pairs at up to `distance` bits."""
-        mask, pattern = self.levels[0]
-        q = np.repeat(np.arange(len(queries)), len(pattern))
-        node = np.tile(np.arange(len(pattern)), len(queries))
-        seen = np.zeros(len(q), np.uint8)
-        for depth, (mask, pattern) in enumerate(self.levels):
+        top = len(self.levels[0][1])
+        q = np.repeat(np.arange(len(queries)), top)
+        open_ = [(0, q, np.tile(np.arange(top), len(queries)), np.zeros(len(q), np.uint8))]
+        found = []
+        while open_:
+            # one part at a time down to the fingerprints: what is held does not grow with the levels
+            depth, q, node, seen = open_.pop()
+            mask, pattern = self.levels[depth]
             if depth:
                 width = np.minimum(self.fanout, len(pattern) - node * self.fanout)
                 first = np.repeat(node * self.fanout, width)
@@ -126,7 +131,11 @@ class GrayIndex:
             seen = seen + np.bitwise_count((queries[q] ^ pattern[node]) & mask[node])
             kept = seen <= distance
             q, node, seen = q[kept], node[kept], seen[kept]
-        return q, node
+            if depth + 1 == len(self.levels):
+                found.append((q, node))
+            else:
+                open_ += [(depth + 1, q[at : at + NODES], node[at : at + NODES], seen[at : at + NODES]) for at in range(0, len(q), NODES)]
+        return tuple(np.concatenate([np.empty(0, np.int64), *(x[i] for x in found)]) for i in range(2))
 
 
 def least_reached(n: int, a: np.ndarray, b: np.ndarray, root: np.ndarray) -> np.ndarray:
