@@ -56,6 +56,34 @@ def narrow(values: np.ndarray) -> np.ndarray:
     return values.astype(next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if most <= np.iinfo(t).max))
 
 
+def _byte_places(sizes: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(place of the lowest byte of each step, distance to its next byte) in messages of these sizes."""
+    begin = np.cumsum(sizes) - sizes
+    return np.repeat(begin * (width - 1), sizes) + np.arange(sizes.sum()), np.repeat(sizes, sizes)
+
+
+def cut_steps(steps: np.ndarray, ends: np.ndarray) -> tuple[int, pa.Array]:
+    """(bytes of a step, steps as binary values up to the ends): the lowest bytes of all steps of a message, then the next ones. Few steps need the highest byte, so that it compresses to next to nothing."""
+    steps = steps.astype(np.uint64)
+    width = max(1, -(-int(steps.max()).bit_length() // 8)) if len(steps) else 1
+    at, apart = _byte_places(np.diff(ends, prepend=0), width)
+    out = np.empty(len(steps) * width, np.uint8)
+    for k in range(width):
+        out[at + k * apart] = (steps >> np.uint64(8 * k)).astype(np.uint8)
+    return width, cut(out, np.asarray(ends) * width)
+
+
+def joined_steps(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.ndarray]:
+    """(the steps of all messages, how many each message has) from such a column."""
+    data, sizes = joined(column, np.dtype(np.uint8))
+    sizes = sizes // width
+    at, apart = _byte_places(sizes, width)
+    steps = np.zeros(len(at), np.uint64)
+    for k in range(width):
+        steps |= data[at + k * apart].astype(np.uint64) << np.uint64(8 * k)
+    return steps, sizes
+
+
 def cut_counts(counts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Counts, most of them small, as two columns: a byte for each, and those from 255 on in full."""
     large = counts >= 255
