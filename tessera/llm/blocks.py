@@ -14,11 +14,13 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, GroupedData
 from pyspark.sql import functions as F
 
 BLOCK_BYTES, BUCKET_BYTES = 8 << 20, 24 << 20
 LAST_ID = np.iinfo(np.int64).max  # stands for a null id, and ties with a real id of that value
+ZSTD = zstandard.ZstdCompressor(level=3)
 MESSAGE = "bucket long, block long, kind int, a binary, b binary, c binary"
 
 
@@ -84,6 +86,17 @@ def joined_steps(column: pa.ChunkedArray, width: int) -> tuple[np.ndarray, np.nd
     return steps, sizes
 
 
+def squeezed(data: bytes) -> bytes:
+    """data as a zstandard frame if that is shorter, else as it is."""
+    frame = ZSTD.compress(data)
+    return frame if len(frame) < len(data) else data
+
+
+def opened(data: bytes, size: int) -> bytes:
+    """What was squeezed, of this size."""
+    return data if len(data) == size else zstandard.decompress(data, max_output_size=size)
+
+
 def cut_counts(counts: np.ndarray, ends: np.ndarray) -> tuple[pa.Array, pa.Array]:
     """Counts, most of them small, as two columns: a byte for each, and those from 255 on in full."""
     large = counts >= 255

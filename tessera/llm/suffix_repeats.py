@@ -6,7 +6,8 @@ least hash among its strings of SEED bytes, and equal windows have equal minimiz
 text falls into contexts of up to length - SEED + 1 windows each.
 
 1. Blocks send the hashes of their minimizers to key buckets, which answer which of them occur in more than one document.
-2. Blocks send the contexts of those, once each, with the smallest id that holds it. A bucket sorts the suffixes of its contexts, computes the
+   Keys are KEY_BITS of a hash; of n keys a share of n / 2^KEY_BITS is taken for shared without being so, which costs messages and changes no result.
+2. Blocks send the contexts of those, once each and compressed as far as that makes them shorter, with the smallest id that holds it. A bucket sorts the suffixes of its contexts, computes the
    common prefixes of neighbours and scans them with a stack: each interval of the common-prefix tree of at least `length` bytes is a
    repeat, and it is maximal when the bytes to the left of its occurrences differ (the start of a context counts as different).
    Every maximal repeat gives all its occurrences the smallest id among them.
@@ -32,17 +33,17 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .blocks import MESSAGE, blocked, bucket_of, counts, cut, joined, messages, narrow, no_messages, packed_keys, rows_of, unpacked_keys
+from .blocks import MESSAGE, blocked, bucket_of, counts, cut, cut_steps, joined, joined_steps, messages, narrow, no_messages, opened, packed_keys, rows_of, squeezed, unpacked_keys
 
 SEED, LONGEST = 16, 1 << 15
 HOT_DOCUMENTS = 4096
 PIECE, SUFFIXES, LOWERED = 1 << 18, 1 << 17, 1 << 20
-PLACE_BITS, KEY_BITS = 24, 48
+PLACE_BITS, KEY_BITS = 24, 40
 BYTE = np.random.RandomState(7).randint(0, 2**63, 256, dtype=np.int64).astype(np.uint64) * np.uint64(2) + np.uint64(1)
 STEPS = [np.uint64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93, 0xA0761D6478BD642F)]
 CODE_ONE, CODE_SHARED, CODE_HOT = 0, 1, 2
-#: Kinds of messages: keys and what became of them, by the width of the keys' steps; contexts.
-TYPES, CONTEXTS = [np.dtype(t) for t in (np.uint8, np.uint16, np.uint32, np.uint64)], 9
+#: Kind of message: contexts; the others are keys, by the bytes of their steps, and what became of them.
+CONTEXTS = 9
 
 
 def _mix(h: np.ndarray) -> np.ndarray:
@@ -142,7 +143,8 @@ def _send_keys(buckets: int, length: int):
         number, _, _, key = context_runs(texts, length)
         keys, count = _documents_by_key(number, key)
         bucket, ends, steps = packed_keys(keys, KEY_BITS, buckets)
-        return messages(bucket, group[0].as_py(), TYPES.index(steps.dtype), cut(steps, ends), cut(np.minimum(count, 65535).astype(np.uint16), ends))
+        width, column = cut_steps(steps, ends)
+        return messages(bucket, group[0].as_py(), width, column, cut(np.minimum(count, 65535).astype(np.uint16), ends))
 
     return send
 
@@ -152,7 +154,7 @@ def _answer_keys(group: tuple[pa.Scalar, ...], table: pa.Table) -> pa.Table:
     blocks, sizes, keys, counts = [], [], [], []
     for kind in np.unique(kinds).tolist():
         mine = table.filter(pa.array(kinds == kind))
-        steps, n = joined(mine["a"], TYPES[kind])
+        steps, n = joined_steps(mine["a"], kind)
         blocks.append(mine["block"].to_numpy())
         sizes.append(n)
         keys.append(unpacked_keys(steps, n))
@@ -218,9 +220,9 @@ def _send_contexts(buckets: int, length: int):
         strings = [x for b in order for x in c.entries[b]]
         sizes = np.fromiter(map(len, strings), np.int64, len(strings))
         ends = np.cumsum(np.fromiter((len(c.entries[b]) for b in order), np.int64, len(order)))
-        upto = np.append(0, np.cumsum(sizes))[ends]
-        least = np.fromiter((x for b in order for x in c.least[b]), np.int64, len(strings))
-        return messages(np.array(order, np.int64), group[0].as_py(), CONTEXTS, cut(b"".join(strings), upto), cut(sizes.astype(np.uint32), ends), cut(least, ends))
+        texts = pa.array([squeezed(b"".join(c.entries[b])) for b in order], pa.binary())
+        least = pa.array([squeezed(np.array(c.least[b], np.int64).tobytes()) for b in order], pa.binary())
+        return messages(np.array(order, np.int64), group[0].as_py(), CONTEXTS, texts, cut(sizes.astype(np.uint32), ends), least)
 
     return send
 
@@ -333,8 +335,9 @@ def _answer_contexts(length: int):
         sent: list[tuple[int, np.ndarray]] = []
         order = np.argsort(table["block"].to_numpy())
         for block, strings, sizes, least in zip(*(table[n].take(pa.array(order)).to_pylist() for n in ("block", "a", "b", "c")), strict=True):
-            sizes, least = np.frombuffer(sizes, np.uint32), np.frombuffer(least, np.int64)
+            sizes = np.frombuffer(sizes, np.uint32)
             ends = np.cumsum(sizes.astype(np.int64))
+            strings, least = opened(strings, int(ends[-1])), np.frombuffer(opened(least, 8 * len(sizes)), np.int64)
             numbers = np.empty(len(sizes), np.int64)
             for k, (a, b, low) in enumerate(zip((ends - sizes).tolist(), ends.tolist(), least.tolist(), strict=True)):
                 at = known.setdefault(strings[a:b], len(owner))
@@ -357,7 +360,9 @@ def _answer_contexts(length: int):
         times = pairs[number]
         at = np.arange(times.sum()) + np.repeat(first[number] - (np.cumsum(times) - times), times)
         ends = np.append(0, np.cumsum(times))[np.cumsum([len(x) for _, x in sent])]
-        return messages(group[0].as_py(), np.array([block for block, _ in sent]), CONTEXTS, cut(spans[at].astype(np.uint32), ends), cut(least[cut_at[at]], ends))
+        owner, first = least[cut_at[at]], np.append(0, ends[:-1])
+        owners = pa.array([squeezed(owner[a:b].tobytes()) for a, b in zip(first.tolist(), ends.tolist(), strict=True)], pa.binary())
+        return messages(group[0].as_py(), np.array([block for block, _ in sent]), CONTEXTS, cut(spans[at].astype(np.uint32), ends), owners)
 
     return answer
 
@@ -372,7 +377,8 @@ def _cut(buckets: int, length: int, names: list[str], with_text: bool):
         mine = answers.filter(pa.array(answers["kind"].to_numpy() == CONTEXTS))
         for bucket, spans_of, least in zip(*(mine[n].to_pylist() for n in ("bucket", "a", "b")), strict=True):
             if bucket in c.entries:
-                flat.append(np.repeat(np.frombuffer(least, np.int64), np.frombuffer(spans_of, np.uint32)))
+                spans_of = np.frombuffer(spans_of, np.uint32)
+                flat.append(np.repeat(np.frombuffer(opened(least, 8 * len(spans_of)), np.int64), spans_of))
                 windows = np.fromiter(map(len, c.entries[bucket]), np.int64, len(c.entries[bucket])) - length + 1
                 base[bucket] = size + np.cumsum(windows) - windows
                 size += int(windows.sum())
