@@ -146,6 +146,34 @@ def test_equal_vectors_count_as_often_as_they_occur(spark):
     assert rows(clustering.clusters(table, 0.4), "id", "cluster") == [*enumerate(want), (99, 99)]
 
 
+def test_chain_keeps_no_table_of_distances():
+    """3,000 distances squared are 72 MB."""
+    import time
+    import tracemalloc
+
+    r = np.random.RandomState(3)
+    m = r.normal(size=(3000, 16))
+    m /= np.linalg.norm(m, axis=1, keepdims=True)
+    want = clustering.average_linkage(1 - m[:400] @ m[:400].T, 0.6, [1 + i % 3 for i in range(400)])
+    assert clustering.chain_linkage(m[:400], np.array([1 + i % 3 for i in range(400)]), 0.6).tolist() == want
+    tracemalloc.start()
+    began = time.process_time()
+    clustering.chain_linkage(m, np.ones(3000), 0.75)
+    assert tracemalloc.get_traced_memory()[1] < 10e6 and time.process_time() - began < 120
+    tracemalloc.stop()
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.75])
+def test_rounds_of_clusters_equal_the_undivided_algorithm(spark, monkeypatch, threshold):
+    monkeypatch.setattr(clustering, "LOCAL_ROWS", 6)
+    monkeypatch.setattr(clustering, "CELL_ROWS", 16)
+    vec = np.random.RandomState(5).normal(size=(40, 6))
+    vec = np.concatenate([vec, vec[:3], vec[:1]])
+    unit = vec / np.linalg.norm(vec, axis=1, keepdims=True)
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(vec)], "id long, vec array<double>")
+    assert rows(clustering.clusters(table, threshold), "id", "cluster") == list(enumerate(clustering.average_linkage(1 - unit @ unit.T, threshold)))
+
+
 def test_resolution(spark):
     named = spark.createDataFrame([("Rider", 0), ("The Rider", 0), ("Left Rein", 1), ("Right Rein", 1), ("Rein", 1), ("Alone", 2)], "name string, cluster long")
     assert dict(rows(clustering.resolve(named), "name", "canonical")) == {"Rider": "Rider", "The Rider": "Rider", "Left Rein": "Left Rein", "Right Rein": "Right Rein", "Rein": "Rein", "Alone": "Alone"}
