@@ -17,9 +17,7 @@ def baseline(queries: DataFrame) -> DataFrame:
 def text(passages: DataFrame, vectors: DataFrame, queries: DataFrame, query_vectors: DataFrame, k: int, scorer: ranking.Scorer = ranking.lexical_score, zero_scores: bool = False) -> DataFrame:
     """(query_id, doc_id, score, rank, text): dense and BM25 candidates, reciprocal rank fusion, rerank. passages: doc_id, text; vectors: doc_id, vec; query_vectors: query_id, vec."""
     candidates = max(5 * k, 50)
-    sparse = ranking.bm25(passages, queries, passage_tokens).withColumn("score", F.round("score", 6))
-    if zero_scores:
-        sparse = ranking.with_zero_scores(sparse, passages, queries, candidates)
+    sparse = (ranking.bm25_filled if zero_scores else ranking.bm25_top)(passages, queries, passage_tokens, candidates, 6)
     fused = ranking.rrf(ranking.dense(vectors, query_vectors, candidates), ranking.top(sparse, candidates)).withColumn("score", F.round("score", 9))
     return ranking.rerank(ranking.top(fused, candidates), queries, passages, k, scorer)
 

@@ -52,13 +52,9 @@ def _ranked(name: str, n: int) -> str:
     return f"(SELECT * FROM (SELECT *, CAST(row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS INTEGER) AS rank FROM {name}) WHERE rank <= {n})"
 
 
-def _sparse(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.bm25(b.corpus(spark, sf_dir), b.asked(spark, sf_dir), t.passage_tokens).withColumn("score", F.round("score", 4))
-
-
 @query(f"WITH {BM25} SELECT query_id, doc_id, score, rank FROM {_ranked('bmr', TOP)}")
 def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ranking.top(_sparse(spark, sf_dir), TOP)
+    return ranking.top(ranking.bm25_top(b.corpus(spark, sf_dir), b.asked(spark, sf_dir), t.passage_tokens, TOP, 4), TOP)
 
 
 @query(f"WITH {TERM_STATS} SELECT term, CAST(df AS BIGINT) AS df, round(idf, 6) AS idf FROM stats")
@@ -87,8 +83,11 @@ wf AS (SELECT coalesce(d.query_id, sp.query_id) AS query_id, coalesce(d.doc_id,
        FROM {_ranked("de", 30)} d FULL OUTER JOIN sp ON d.query_id = sp.query_id AND d.doc_id = sp.doc_id)
 SELECT query_id, doc_id, score, rank FROM {_ranked("wf", 20)}""")
 def weighted_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
-    near = ranking.dense(b.vectors(spark, sf_dir), b.vector_queries(spark, sf_dir), 30)
-    return ranking.top(ranking.weighted_fusion(near, _sparse(spark, sf_dir)).withColumn("score", F.round("score", 6)), 20)
+    near = files_free(ranking.dense(b.vectors(spark, sf_dir), b.vector_queries(spark, sf_dir), 30))
+    # sparse scores that differ by less than slack may be equal after rounding, and then ids decide
+    slack = 2 * 10.0**-ranking.FUSED_DIGITS / ranking.SPARSE_WEIGHT
+    sparse = ranking.bm25_top(b.corpus(spark, sf_dir), b.asked(spark, sf_dir), t.passage_tokens, 20, 4, near.select("query_id", "doc_id"), slack)
+    return ranking.top(ranking.weighted_fusion(near, sparse).withColumn("score", F.round("score", ranking.FUSED_DIGITS)), 20)
 
 
 LEXICAL = "list_distinct(list_filter(string_split_regex(lower(strip_accents({})), '[^\\p{{L}}\\p{{N}}]+'), lambda w: w <> ''))"

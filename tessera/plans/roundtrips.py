@@ -195,9 +195,7 @@ def token_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
   FROM (SELECT item_id AS query_id FROM benchmark) q, (SELECT doc_id FROM documents ORDER BY doc_id LIMIT 80) d WHERE NOT EXISTS (SELECT 1 FROM bmr WHERE bmr.query_id = q.query_id AND bmr.doc_id = d.doc_id)) WHERE n <= 40)
 SELECT query_id, doc_id, score, rank FROM {_ranked("z", 40)}""")
 def bm25_with_zero_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs, asked = b.corpus(spark, sf_dir), b.asked(spark, sf_dir)
-    scores = ranking.bm25(docs, asked, t.passage_tokens).withColumn("score", F.round("score", 4))
-    return ranking.top(ranking.with_zero_scores(scores, docs, asked, 40), 40)
+    return ranking.top(ranking.bm25_filled(b.corpus(spark, sf_dir), b.asked(spark, sf_dir), t.passage_tokens, 40, 4), 40)
 
 
 @query(f"WITH {DENSE}, sd AS (SELECT 'q' || query_id AS query_id, 'v' || doc_id AS doc_id, score FROM de) SELECT query_id, doc_id, score, rank FROM {_ranked('sd', 30)}")

@@ -30,6 +30,34 @@ def test_bm25(spark):
     assert {r.doc_id: round(r.score, 4) for r in again.collect()} == got
 
 
+@pytest.mark.parametrize("block", [3, 4096])
+def test_bm25_top_sends_no_postings(spark, monkeypatch, block):
+    monkeypatch.setattr(ranking, "QUERY_BLOCK", block)
+    r = random.Random(4)
+    words = [f"w{i}" for i in range(12)]
+    texts = [(i, " ".join(r.choices(words, k=r.randint(0, 9)))) for i in range(150)] + [(150, None)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string").repartition(3)
+    asked = spark.createDataFrame([(q, " ".join(r.choices(words + ["new"], k=3))) for q in range(8)], "query_id long, text string")
+    every = ranking.bm25(docs, asked, passage_tokens).withColumn("score", F.round("score", 4))
+    got = ranking.bm25_top(docs, asked, passage_tokens, 5, 4)
+    assert got.count() <= 8 * 5 * 3 * 2
+    assert "Exchange" not in got._jdf.queryExecution().executedPlan().toString()
+    names = ("query_id", "doc_id", "score", "rank")
+    assert rows(ranking.top(got, 5), *names) == rows(ranking.top(every, 5), *names)
+    pairs = spark.createDataFrame([(q, d) for q in range(9) for d in (3, 8, 150)], "query_id long, doc_id long")
+    held = ranking.bm25_top(docs, asked, passage_tokens, 5, 4, pairs)
+    assert rows(held.join(pairs, ["query_id", "doc_id"]), *names[:3]) == rows(every.join(pairs, ["query_id", "doc_id"]), *names[:3])
+    assert held.groupBy("query_id", "doc_id").count().where("count > 1").isEmpty() and rows(ranking.top(held, 5), *names) == rows(ranking.top(every, 5), *names)
+    zero = ranking.top(ranking.with_zero_scores(every, docs, asked, 90), 90)
+    assert rows(ranking.top(ranking.bm25_filled(docs, asked, passage_tokens, 90, 4), 90), *names) == rows(zero, *names)
+
+
+def test_scores_near_the_last_one_stay_with_their_first_ids():
+    best = ranking._Best(1, 2, 0.1)
+    best.add(np.zeros(7, int), np.array([9, 8, 7, 6, 5, 4, 3]), np.array([10.0, 9.5, 9.0, 9.0, 9.0, 8.6, 8.4]))
+    assert best.rows()[1].tolist() == [9, 8, 5, 6, 4] and best.floor[0] == 8.5
+
+
 def test_fusion(spark):
     make = lambda ids: spark.createDataFrame([(0, d, i + 1) for i, d in enumerate(ids)], "query_id long, doc_id long, rank int")
     got = {r.doc_id: round(r.score, 6) for r in ranking.rrf(make([10, 20, 30]), make([30, 40, 10])).collect()}
