@@ -4,11 +4,26 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 SEPARATORS = ("\n\n", "\n", ". ", " ")
+#: Bytes of text that become Python strings at a time; a batch of Spark's can hold hundreds of times as many.
+SLICE_BYTES = 1 << 20
+
+
+def slices(batch: pa.RecordBatch, at: int) -> Iterator[pa.RecordBatch]:
+    """The batch in runs of rows that hold up to SLICE_BYTES of text in the column at this place; a longer text stands alone."""
+    ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(at)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+    begin = 0
+    while begin < len(batch):
+        before = ends[begin - 1] if begin else 0
+        stop = max(begin + 1, int(np.searchsorted(ends, before + SLICE_BYTES, "right")))
+        yield batch.slice(begin, stop - begin)
+        begin = stop
 
 
 def chunks(text: str, size: int = 1000, overlap: int = 200, separators: tuple[str, ...] = SEPARATORS) -> list[str]:
@@ -43,7 +58,7 @@ def chunked(df: DataFrame, size: int = 1000, overlap: int = 200, text: str = "te
     schema = df.withColumn("chunk_id", F.lit(0)).schema
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (part for whole in batches for part in slices(whole, whole.schema.get_field_index(text))):
             at = batch.schema.get_field_index(text)
             parts = [chunks(t or "", size, overlap) for t in batch.column(at).to_pylist()]
             rows = pa.array([i for i, p in enumerate(parts) for _ in p], pa.int64())

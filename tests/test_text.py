@@ -37,6 +37,17 @@ def test_chunked_rows_and_table_function(spark):
     assert spark.sql("select id, chunk from chunk_input, lateral split_chunks(text, 4, 2)").count() == 4
 
 
+def test_batches_of_text_are_cut_into_slices(spark, monkeypatch):
+    import pyarrow as pa
+
+    texts = ["a" * 10, None, "b" * 10, "c" * 50, "", "é" * 6, "d"]
+    whole = pa.RecordBatch.from_pydict({"id": list(range(7)), "text": pa.array(texts, pa.string())})
+    monkeypatch.setattr(chunking, "SLICE_BYTES", 20)
+    parts = list(chunking.slices(whole, 1))
+    assert [p["text"].to_pylist() for p in parts] == [["a" * 10, None, "b" * 10], ["c" * 50], ["", "é" * 6, "d"]]
+    assert list(chunking.slices(whole.slice(0, 0), 1)) == [] and [p["id"].to_pylist() for p in chunking.slices(whole.slice(2, 3), 1)] == [[2], [3], [4]]
+
+
 def test_sentences(spark):
     text = 'See e.g. the gait. It is an animal. Next one! "Really?" Yes. A'
     df = spark.createDataFrame([(text, "en")], "x string, lang string")
