@@ -12,6 +12,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.chunking import slices
+
 EDGE = "source string, target string, relation string, properties string, edge_properties string, props string"
 QUESTION = "question string, answer string, rationale string, key_facts array<string>, facts array<string>, category string, difficulty string, source_type string, gold_context string"
 QUESTION_DATA = (
@@ -187,7 +189,7 @@ class ExtractionCache:
         fresh = hashed.join(self.load().select("chunk_hash"), "chunk_hash", "left_anti")
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
+            for batch in (part for whole in batches for part in slices(whole, 1)):
                 replies = []
                 for text in batch.column(1).to_pylist():
                     try:
